@@ -10,8 +10,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskmill.functions.scalars import q
+from riskmill.operators.profile import domain_discovery
 from riskmill.spec import FeatureSpec
 
+MAX_CATEGORIES = 100_000
+
 
 @dataclass(frozen=True)
 class Encoding:
@@ -24,22 +27,37 @@ class Encoding:
 
     @classmethod
     def fit(cls, df: DataFrame, spec: FeatureSpec) -> Encoding:
-        """One aggregate over the rows given; nothing else is ever looked at.
+        """Learns from the rows given and nothing else."""
+        return cls.fit_with(df, spec, {})[0]
+
+    @classmethod
+    def fit_with(cls, df: DataFrame, spec: FeatureSpec, facts: dict[str, Column]):
+        """The encoding and some further aggregates of the same pass over the rows.
 
-        A constant column keeps its scale (divided by 1).
+        A constant column keeps its scale (divided by 1). Category values are listed only where
+        their number is known to be small enough for a model.
         """
         row = df.agg(
-            *[F.struct(F.avg(q(c)).alias("mean"), F.stddev_pop(q(c)).alias("std")).alias(f"n{i}")
+            *[expr.alias(name) for name, expr in facts.items()],
+            *[F.struct(F.avg(q(c)).alias("mean"), F.stddev_pop(q(c)).alias("std")).alias(f"__n{i}")
               for i, c in enumerate(spec.numeric)],
-            *[F.array_sort(F.collect_set(q(c).cast("string"))).alias(f"c{i}") for i, c in enumerate(spec.categorical)],
+            *[F.approx_count_distinct(q(c)).alias(f"__c{i}") for i, c in enumerate(spec.categorical)],
         ).first()
-        stats = {c: row[f"n{i}"] for i, c in enumerate(spec.numeric)}
-        return cls(
+        for i, c in enumerate(spec.categorical):
+            if row[f"__c{i}"] > MAX_CATEGORIES:
+                raise ValueError(f"{c} has about {row[f'__c{i}']} values, too many for one-hot slots")
+        stats = {c: row[f"__n{i}"] for i, c in enumerate(spec.numeric)}
+        labels: dict[str, list] = {c: [] for c in spec.categorical}
+        if spec.categorical:
+            for found in domain_discovery(df, spec.categorical).collect():
+                labels[found["column"]].append(found["value"])
+        encoding = cls(
             spec,
             {c: s["mean"] for c, s in stats.items()},
             {c: s["std"] or 1.0 for c, s in stats.items()},
-            {c: tuple(row[f"c{i}"]) for i, c in enumerate(spec.categorical)},
+            {c: tuple(sorted(v)) for c, v in labels.items()},
         )
+        return encoding, {name: row[name] for name in facts}
 
     def scaled(self, column: str) -> Column:
         return (q(column).cast("double") - F.lit(self.means[column])) / F.lit(self.scales[column])

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from riskmill.functions.scalars import add_all, logistic, q, safe_div
 from riskmill.operators.encode import Encoding
 from riskmill.operators.smotenc import smotenc
+from riskmill.session import materialize
 from riskmill.spec import FeatureSpec
 
 LOGISTIC = "Logistic Regression"
@@ -136,18 +137,17 @@ def fit_candidate(
         raise ValueError(f"Unknown strategy: {strategy}")
     rows = train
     if strategy == "smotenc":
-        rows = resampled if resampled is not None else smotenc(
-            train, spec, settings.ratio, settings.neighbours, settings.seed
+        rows = resampled if resampled is not None else materialize(
+            smotenc(train, spec, settings.ratio, settings.neighbours, settings.seed), "resampled"
         )
     rows = rows.select(*spec.features, spec.target)
-    facts = rows.agg(
-        F.count_if(q(spec.target) == 0).alias("n0"), F.count_if(q(spec.target) == 1).alias("n1"),
-        F.approx_count_distinct(F.xxhash64(*spec.features)).alias("distinct"),
-    ).first()
+    encoding, facts = Encoding.fit_with(rows, spec, {
+        "n0": F.count_if(q(spec.target) == 0), "n1": F.count_if(q(spec.target) == 1),
+        "distinct": F.approx_count_distinct(F.xxhash64(*spec.features)),
+    })
     n0, n1 = facts["n0"], facts["n1"]
     if not n0 or not n1:
         raise ValueError("training rows must hold both classes")
-    encoding = Encoding.fit(rows, spec)
     weight_total = {
         "scale_pos_weight": float(n0 + n0),
     }.get(strategy, float(n0 + n1))

@@ -19,6 +19,7 @@ from riskmill.functions.scalars import add_all, percent, q
 PREFIX_STEP = 3
 LIST_BELOW = 5_000
 MAX_CLASSES = 100
+MAX_COUNTS = MAX_CLASSES * 16**PREFIX_STEP
 
 
 @dataclass(frozen=True)
@@ -44,8 +45,10 @@ def _prefix_counts(keyed: DataFrame, length: int) -> dict:
     """Rows per class and digest prefix; at most 16**PREFIX_STEP prefixes per searched one."""
     out: dict = {}
     grouped = keyed.groupBy("label", F.substring("rank_key", 1, length).alias("prefix")).agg(F.count("*").alias("n"))
-    for row in grouped.collect():
+    for row in grouped.limit(MAX_COUNTS + 1).collect():
         out.setdefault(row["label"], {})[row["prefix"]] = row["n"]
+    if len(out) > MAX_CLASSES or sum(map(len, out.values())) > MAX_COUNTS:
+        raise ValueError(f"the target has more than {MAX_CLASSES} classes")
     return out
 
 
@@ -56,8 +59,6 @@ def fit_cuts(df: DataFrame, target: str, key: str, ranks_for, seed: int, salt: s
     )
     length = PREFIX_STEP
     counts = _prefix_counts(keyed, length)
-    if len(counts) > MAX_CLASSES:
-        raise ValueError(f"{target} has more than {MAX_CLASSES} classes")
     totals = {label: sum(c.values()) for label, c in sorted(counts.items())}
     wanted = ranks_for(totals)
     # (label, position of the cut) -> (prefix, rank inside the prefix)

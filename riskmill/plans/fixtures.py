@@ -117,7 +117,7 @@ def scored_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     ) / F.lit(200.0)
     fold = F.conv(F.substring(keyed_digest(SEED, "g", F.col("row_id")), 1, 4), 16, 10).cast("int") % 5
     return risk_events(spark, sf_dir).select(
-        "row_id", "x_cat", fold.alias("fold"), F.col("target").alias("label"),
+        "row_id", "x_cat", "x_bin", fold.alias("fold"), F.col("target").alias("label"),
         F.round(score, 2).alias("score"),
     )
 

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def get_session(app: str = "riskmill", master: str | None = None, **conf: str) -> SparkSession:
@@ -18,6 +19,8 @@ def get_session(app: str = "riskmill", master: str | None = None, **conf: str) -
         "spark.sql.ansi.enabled": "true",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # The last of repeated JSON keys counts.
+        "spark.sql.variant.allowDuplicateKeys": "true",
         **{k.replace("__", "."): v for k, v in conf.items()},
     }
     for name, value in settings.items():
@@ -49,12 +52,14 @@ def materialize(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -
     """Write ``df`` to the shared folder and read it back.
 
     Cuts the lineage in a way that survives lost executors, and gives repeated readers
-    column pruning, pushdown and (with ``partition_by``) partition pruning.
+    column pruning, pushdown and (with ``partition_by``) partition pruning. Partitioned rows are
+    rebalanced first: files of a useful size, and a value with most of the rows gets many tasks.
     """
     spark = df.sparkSession
     path = new_folder(spark, label)
     writer = df.write
     if partition_by:
-        writer = writer.partitionBy(*partition_by)
+        rebalanced = df.hint("rebalance", *[F.col(c) for c in partition_by])
+        writer = rebalanced.write.partitionBy(*partition_by)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
