@@ -111,8 +111,8 @@ def average_precision(df: DataFrame, by: tuple[str, ...] = (), **names: str) ->
 def roc_points(df: DataFrame, thin: bool = False, label: str = "label", score: str = "score") -> DataFrame:
     """``threshold, fpr, tpr`` per distinct score, plus the start at (0, 0).
 
-    ``thin`` leaves out scores held by one class only where the next higher score is of the
-    same class too, which are inner points of a straight run.
+    ``thin`` leaves out the inner points of vertical and horizontal runs, which do not change the
+    curve.
     """
     totals = score_totals(df, (), label, score)
     if thin:
@@ -129,16 +129,16 @@ def roc_points(df: DataFrame, thin: bool = False, label: str = "label", score: s
 
 
 def _corners(totals: DataFrame) -> DataFrame:
-    """One row per run of equal direction: rows sharing a cumulative count on one axis.
+    """Leaves out the points strictly inside a vertical or horizontal run of the curve.
 
-    Along a vertical run every point has the same negatives, along a horizontal one the same
-    positives; the run's last point has the largest other count.
+    Points of a vertical run share their negatives, points of a horizontal one their positives.
     """
-    ends = totals.groupBy("cum_neg").agg(F.max("cum_pos").alias("cum_pos"))
-    tops = totals.join(ends, ["cum_neg", "cum_pos"], "left_semi")
-    sides = totals.groupBy("cum_pos").agg(F.max("cum_neg").alias("cum_neg"))
-    rights = totals.join(sides, ["cum_neg", "cum_pos"], "left_semi")
-    return tops.unionByName(rights).distinct()
+    kept = totals
+    for shared, moving in (("cum_neg", "cum_pos"), ("cum_pos", "cum_neg")):
+        runs = totals.groupBy(shared).agg(F.min(moving).alias("first"), F.max(moving).alias("last"))
+        inside = (F.col(moving) > F.col("first")) & (F.col(moving) < F.col("last"))
+        kept = kept.join(runs, shared).filter(~inside).drop("first", "last")
+    return kept
 
 
 def pr_points(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:

@@ -9,6 +9,7 @@ the search, so heavily repeated values cost nothing extra.
 from __future__ import annotations
 
 import math
+import sys
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -18,6 +19,8 @@ from riskmill.functions.scalars import q
 
 SLICES = 4096
 LIST_BELOW = 20_000
+# Infinite cells stand at the ends of the finite range during the search.
+LARGEST = sys.float_info.max
 
 
 @dataclass
@@ -31,8 +34,14 @@ class _Search:
 
 
 def _unpivot(df: DataFrame, columns) -> DataFrame:
-    pairs = [F.struct(F.lit(c).alias("column"), q(c).cast("double").alias("value")) for c in columns]
-    return df.select(F.inline(F.array(*pairs))).filter("value is not null and not isnan(value)")
+    def finite(c):
+        return F.greatest(F.least(q(c).cast("double"), F.lit(LARGEST)), F.lit(-LARGEST))
+
+    pairs = [
+        F.struct(F.lit(c).alias("column"), F.when(~F.isnan(q(c).cast("double")), finite(c)).alias("value"))
+        for c in columns
+    ]
+    return df.select(F.inline(F.array(*pairs))).filter("value is not null")
 
 
 def _in_any(searches) -> F.Column:
@@ -53,8 +62,12 @@ def _slice(intervals) -> F.Column:
     expr = F.lit(0)
     for i, (_, lo, hi) in enumerate(intervals):
         # Halved operands keep the width finite for any pair of finite doubles.
-        pos = (F.col("value") / 2 - F.lit(lo / 2)) / F.lit(hi / 2 - lo / 2) * SLICES
-        part = F.least(F.floor(pos).cast("int"), F.lit(SLICES - 1))
+        width = hi / 2 - lo / 2
+        if width > 0:
+            pos = (F.col("value") / 2 - F.lit(lo / 2)) / F.lit(width) * SLICES
+            part = F.least(F.floor(pos).cast("int"), F.lit(SLICES - 1))
+        else:
+            part = (F.col("value") > F.lit(lo)).cast("int")
         expr = F.when(F.col("interval") == i, part).otherwise(expr)
     return expr
 
@@ -65,7 +78,8 @@ def order_statistics(df: DataFrame, wanted: dict[str, set[int]], bounds: dict) -
     active: list[_Search] = []
     for column, ranks in wanted.items():
         n, lo, hi = bounds[column]
-        active += [_Search(column, r, float(lo), float(hi), n) for r in sorted(ranks)]
+        lo, hi = (min(max(float(x), -LARGEST), LARGEST) for x in (lo, hi))
+        active += [_Search(column, r, lo, hi, n) for r in sorted(ranks)]
     while active:
         for s in [s for s in active if s.lo == s.hi]:
             found[s.column, s.rank] = s.lo
@@ -99,6 +113,10 @@ def order_statistics(df: DataFrame, wanted: dict[str, set[int]], bounds: dict) -
     return found
 
 
+def _restored(value: float) -> float:
+    return math.copysign(math.inf, value) if abs(value) == LARGEST else value
+
+
 def exact_quantiles(df: DataFrame, columns, probs, bounds: dict | None = None) -> dict:
     """``{column: [quantile per prob]}``; None for a column without values."""
     columns = list(columns)
@@ -120,7 +138,7 @@ def exact_quantiles(df: DataFrame, columns, probs, bounds: dict | None = None) -
             continue
         values = []
         for x in places[c]:
-            lo, hi = found[c, math.floor(x)], found[c, math.ceil(x)]
-            values.append(lo + (hi - lo) * (x - math.floor(x)))
+            lo, hi = (_restored(found[c, f(x)]) for f in (math.floor, math.ceil))
+            values.append(lo if lo == hi else lo + (hi - lo) * (x - math.floor(x)))
         result[c] = values
     return result
