@@ -68,3 +68,9 @@ def nan_to_null(df: DataFrame) -> DataFrame:
 def q(name: str) -> Column:
     """Column by its exact name, dots and spaces included."""
     return F.col("`" + name.replace("`", "``") + "`")
+
+
+def one_row(df: DataFrame) -> list[Column]:
+    """The columns of a one-row table as columns for another one, from a single subquery."""
+    row = df.select(F.struct(*df.columns)).scalar()
+    return [row[c].alias(c) for c in df.columns]

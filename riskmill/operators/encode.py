@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskmill.functions.scalars import q
-from riskmill.operators.profile import domain_discovery
+from riskmill.operators.profile import value_counts
 from riskmill.spec import FeatureSpec
 
 MAX_CATEGORIES = 100_000
@@ -49,8 +49,9 @@ class Encoding:
         stats = {c: row[f"__n{i}"] for i, c in enumerate(spec.numeric)}
         labels: dict[str, list] = {c: [] for c in spec.categorical}
         if spec.categorical:
-            for found in domain_discovery(df, spec.categorical).collect():
-                labels[found["column"]].append(found["value"])
+            found = value_counts(df, spec.categorical).filter("value is not null")
+            for row_found in found.select("column", "value").collect():
+                labels[row_found["column"]].append(row_found["value"])
         encoding = cls(
             spec,
             {c: s["mean"] for c, s in stats.items()},

@@ -83,21 +83,49 @@ def score_totals(df: DataFrame, by: tuple[str, ...] = (), label: str = "label",
     return running_totals(df, score, {"pos": positive, "neg": F.lit(1).cast("bigint") - positive}, by)
 
 
-def ranking_metrics(df: DataFrame, by: tuple[str, ...] = (), label: str = "label", score: str = "score") -> DataFrame:
-    """Tie-aware ROC-AUC (missing with one class only) and step-wise average precision."""
+def _summary(df: DataFrame, by: tuple[str, ...], label: str, score: str, hits: dict[str, Column]) -> DataFrame:
+    """ROC-AUC, average precision and, per entry of ``hits``, TP and FP, all from one pass."""
     totals = score_totals(df, by, label, score)
     pos, neg = F.col("pos").cast("double"), F.col("neg").cast("double")
-    won = F.sum(neg * (F.col("cum_pos") - pos / 2))
-    stepped = F.sum(pos * F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg")))
+    zero = F.lit(0).cast("bigint")
     summed = totals.groupBy(*by).agg(
-        won.alias("won"), stepped.alias("stepped"),
-        F.max("all_pos").cast("double").alias("p"), F.max("all_neg").cast("double").alias("n"),
+        F.sum(neg * (F.col("cum_pos") - pos / 2)).alias("won"),
+        F.sum(pos * F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))).alias("stepped"),
+        F.max("all_pos").alias("p"), F.max("all_neg").alias("n"),
+        *[F.sum(F.when(hit, F.col("pos")).otherwise(zero)).alias(f"tp_{name}") for name, hit in hits.items()],
+        *[F.sum(F.when(hit, F.col("neg")).otherwise(zero)).alias(f"fp_{name}") for name, hit in hits.items()],
     )
+    pairs = F.col("p").cast("double") * F.col("n").cast("double")
     return summed.select(
-        *by,
-        F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("won") / (F.col("p") * F.col("n"))).alias("roc_auc"),
+        *by, "p", "n",
+        F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("won") / pairs).alias("roc_auc"),
         safe_div(F.col("stepped"), F.col("p")).alias("average_precision"),
+        *[f"tp_{name}" for name in hits], *[f"fp_{name}" for name in hits],
+    )
+
+
+def _counts_of(name: str) -> list[Column]:
+    tp, fp = F.col(f"tp_{name}"), F.col(f"fp_{name}")
+    return [F.col("n") - fp, fp, F.col("p") - tp, tp]
+
+
+def ranking_metrics(df: DataFrame, by: tuple[str, ...] = (), label: str = "label", score: str = "score") -> DataFrame:
+    """Tie-aware ROC-AUC (missing with one class only) and step-wise average precision."""
+    return _summary(df, by, label, score, {}).select(*by, "roc_auc", "average_precision")
+
+
+def all_metrics(
+    df: DataFrame, threshold: float = DEFAULT_THRESHOLD, by: tuple[str, ...] = (), inclusive: bool = True,
+    label: str = "label", score: str = "score",
+) -> DataFrame:
+    """Counts and rates at a threshold together with the threshold-free metrics."""
+    hit = decide(F.col(score), threshold, inclusive) == 1
+    summed = _summary(df, by, label, score, {"t": hit})
+    counts = summed.select(
+        *by, *[c.alias(n) for c, n in zip(_counts_of("t"), COUNTS, strict=True)],
+        F.lit(float(threshold)).alias("threshold"), "roc_auc", "average_precision",
     )
+    return with_rates(counts)
 
 
 def roc_auc(df: DataFrame, by: tuple[str, ...] = (), **names: str) -> DataFrame:
@@ -160,14 +188,21 @@ def no_skill_rate(df: DataFrame, label: str = "label") -> DataFrame:
     return df.agg(F.avg(F.col(label).cast("double")).alias("no_skill"))
 
 
-def evaluation_report(df: DataFrame, alternative: float, default: float = DEFAULT_THRESHOLD, model: str = "model") -> DataFrame:
+def evaluation_report(
+    df: DataFrame, alternative: float, default: float = DEFAULT_THRESHOLD, model: str = "model",
+    label: str = "label", score: str = "score",
+) -> DataFrame:
     """Default and alternative threshold side by side, with the threshold-free metrics."""
-    role = F.when(F.col("threshold") == F.lit(default), "default").otherwise("alternative_recall_oriented")
-    ranking = ranking_metrics(df)
-    return threshold_sweep(df, {default, alternative}).select(
-        F.lit(model).alias("model"), "threshold", role.alias("threshold_role"), *COMPARED,
-        ranking.select("roc_auc").scalar().alias("roc_auc"),
-        ranking.select("average_precision").scalar().alias("average_precision"),
+    marks = {"default": default, "alternative_recall_oriented": alternative}
+    if alternative == default:
+        del marks["alternative_recall_oriented"]
+    summed = _summary(df, (), label, score, {role: F.col(score) >= F.lit(t) for role, t in marks.items()})
+    rows = [
+        F.struct(F.lit(float(t)).alias("threshold"), F.lit(role).alias("threshold_role"), *rates(*_counts_of(role)))
+        for role, t in marks.items()
+    ]
+    return summed.select("roc_auc", "average_precision", F.inline(F.array(*rows))).select(
+        F.lit(model).alias("model"), "threshold", "threshold_role", *COMPARED, "roc_auc", "average_precision"
     )
 
 
@@ -197,5 +232,6 @@ def error_analysis(df: DataFrame, threshold: float, label: str = "label", score:
 
 def fold_metrics(df: DataFrame, by: tuple[str, ...], threshold: float = DEFAULT_THRESHOLD) -> DataFrame:
     """Recall, precision, F1 and ROC-AUC per group; a score equal to the threshold is negative here."""
-    at = metrics_at(df, threshold, by, inclusive=False).select(*by, "recall", "precision", F.col("f1_score").alias("f1"))
-    return at.join(roc_auc(df, by), list(by), "left")
+    return all_metrics(df, threshold, by, inclusive=False).select(
+        *by, "recall", "precision", F.col("f1_score").alias("f1"), "roc_auc"
+    )

@@ -51,10 +51,10 @@ def running_totals(
     names = list(counts)
     data = df.filter(F.col(value).isNotNull())
     cuts = value_cuts(data, value)
-    distinct = with_range(
-        data.groupBy(*by, value).agg(*[F.sum(expr).alias(n) for n, expr in counts.items()]),
-        value, cuts, "value_range",
-    )
+    distinct = data.groupBy(*by, value).agg(*[F.sum(expr).alias(n) for n, expr in counts.items()])
+    if not cuts:
+        return _within_one_range(distinct, value, names, by)
+    distinct = with_range(distinct, value, cuts, "value_range")
     # At most MAX_RANGES rows per group from here to the offsets.
     totals = distinct.groupBy(*by, "value_range").agg(*[F.sum(n).alias(f"all_{n}") for n in names])
     group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
@@ -81,3 +81,14 @@ def running_totals(
             *[F.col(f"all_{n}") for n in names],
         )
     )
+
+
+def _within_one_range(distinct: DataFrame, value: str, names: list[str], by: tuple[str, ...]) -> DataFrame:
+    """The same for at most ROWS_PER_RANGE rows: one window per group."""
+    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    down = group.orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return distinct.select(
+        *by, value, *names,
+        *[F.sum(n).over(down).alias(f"cum_{n}") for n in names],
+        *[F.sum(n).over(group).alias(f"all_{n}") for n in names],
+    )

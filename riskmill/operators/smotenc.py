@@ -76,9 +76,9 @@ def synthetic_rows(df: DataFrame, spec: FeatureSpec, ratio: float = 0.5, k: int
     labelled = near.withColumn(spec.target, F.lit(facts["minority"]))
     first = fit_cuts(rows.withColumn(spec.target, F.lit(facts["minority"])), spec.target, spec.key,
                      lambda totals: {label: [extra] for label in totals}, seed, "base")
-    copies = F.lit(each) + (first.part() == 0).cast("int")
+    copies = F.lit(each) + (F.col("__turn") == 0).cast("int")
     key = q(spec.key)
-    drawn = labelled.select(
+    drawn = first.apply(labelled, "__turn").select(
         "*", F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies)).otherwise(F.array().cast("array<int>"))).alias("copy")
     ).select(
         "*",

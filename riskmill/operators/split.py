@@ -10,11 +10,11 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskmill.functions.hashing import order_key
-from riskmill.functions.scalars import add_all, percent, q
+from riskmill.functions.scalars import add_all, one_row, percent, q
 
 PREFIX_STEP = 3
 LIST_BELOW = 5_000
@@ -32,13 +32,15 @@ class SplitPlan:
     salt: str
     cuts: dict
 
-    def part(self) -> Column:
-        rank_key = order_key(self.seed, self.salt, q(self.key))
-        expr = F.lit(None).cast("int")
+    def apply(self, df: DataFrame, out: str) -> DataFrame:
+        """Adds the part of every row; the order key is computed once per row."""
+        rank_key = F.col("__rank_key")
+        part = F.lit(None).cast("int")
         for label, keys in self.cuts.items():
             index = add_all([(rank_key > F.lit(k)).cast("int") for k in keys]) if keys else F.lit(0)
-            expr = F.when(q(self.target) == F.lit(label), index).otherwise(expr)
-        return expr
+            part = F.when(q(self.target) == F.lit(label), index).otherwise(part)
+        keyed = df.withColumn("__rank_key", order_key(self.seed, self.salt, q(self.key)))
+        return keyed.withColumn(out, part).drop("__rank_key")
 
 
 def _prefix_counts(keyed: DataFrame, length: int) -> dict:
@@ -134,8 +136,8 @@ def fit_split(df: DataFrame, target: str, key: str, test_size: float = 0.2, seed
 
 def stratified_split(df: DataFrame, target: str, key: str, test_size: float = 0.2, seed: int = 42) -> DataFrame:
     """Adds ``split``: 'train' or 'test', with exact class counts in both."""
-    part = fit_split(df, target, key, test_size, seed).part()
-    return df.withColumn("split", F.when(part == 0, "test").when(part == 1, "train"))
+    parted = fit_split(df, target, key, test_size, seed).apply(df, "split")
+    return parted.withColumn("split", F.when(F.col("split") == 0, "test").when(F.col("split") == 1, "train"))
 
 
 def fold_sizes(totals: dict, k: int) -> dict:
@@ -164,7 +166,7 @@ def fit_kfold(df: DataFrame, target: str, key: str, k: int = 5, seed: int = 42)
 
 def stratified_kfold(df: DataFrame, target: str, key: str, k: int = 5, seed: int = 42) -> DataFrame:
     """Adds ``fold`` 0..k-1; class counts per fold differ by one row at most."""
-    return df.withColumn("fold", fit_kfold(df, target, key, k, seed).part())
+    return fit_kfold(df, target, key, k, seed).apply(df, "fold")
 
 
 def split_integrity(df: DataFrame, split_df: DataFrame, target: str, key: str) -> DataFrame:
@@ -172,27 +174,17 @@ def split_integrity(df: DataFrame, split_df: DataFrame, target: str, key: str) -
     before = df.agg(
         F.count("*").alias("rows_before"), F.count_if(q(target) == 1).alias("positives_before")
     )
-    per_key = split_df.groupBy(q(key)).agg(
-        F.count_if(F.col("split") == "train").alias("in_train"),
-        F.count_if(F.col("split") == "test").alias("in_test"),
+    per_key = split_df.groupBy(q(key)).agg(*[
+        F.count_if((F.col("split") == part) & cond).alias(name)
+        for part in ("train", "test")
+        for name, cond in ((f"{part}_rows", F.lit(True)), (f"{part}_positives", q(target) == 1))
+    ])
+    after = per_key.agg(
+        *[F.sum(f"{part}_{what}").alias(f"{part}_{what}") for what in ("rows", "positives") for part in ("train", "test")],
+        F.count_if((F.col("train_rows") > 0) & (F.col("test_rows") > 0)).alias("shared_keys"),
+        F.count_if(F.col("train_rows") + F.col("test_rows") != 1).alias("bad_keys"),
     )
-    keys = per_key.agg(
-        F.count_if((F.col("in_train") > 0) & (F.col("in_test") > 0)).alias("shared_keys"),
-        F.count_if(F.col("in_train") + F.col("in_test") != 1).alias("bad_keys"),
-    )
-    after = split_df.agg(
-        F.count_if(F.col("split") == "train").alias("train_rows"),
-        F.count_if(F.col("split") == "test").alias("test_rows"),
-        F.count_if((F.col("split") == "train") & (q(target) == 1)).alias("train_positives"),
-        F.count_if((F.col("split") == "test") & (q(target) == 1)).alias("test_positives"),
-    )
-    return after.select(
-        "*",
-        before.select("rows_before").scalar().alias("rows_before"),
-        before.select("positives_before").scalar().alias("positives_before"),
-        keys.select("shared_keys").scalar().alias("shared_keys"),
-        keys.select("bad_keys").scalar().alias("bad_keys"),
-    ).withColumn(
+    return after.select("*", *one_row(before)    ).withColumn(
         "ok",
         (F.col("train_rows") + F.col("test_rows") == F.col("rows_before"))
         & (F.col("train_positives") + F.col("test_positives") == F.col("positives_before"))

@@ -19,74 +19,107 @@ NOT_OBJECT = "Request body must be a JSON object."
 
 NUMBER_TEXT = r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)\s*$"
 INTEGER_TEXT = r"^\s*([+-]?\d+)\s*$"
+OBJECT_TEXT = r"^\s*\{"
 INFINITE_TEXT = r"(?i)^\s*([+-]?)inf(?:inity)?\s*$"
 
 
 @dataclass(frozen=True)
 class _Field:
-    """One field of a parsed record."""
+    """Columns that hold what is known about one field: JSON kind, text, number, whole number."""
 
     name: str
-    record: Column
 
-    def _get(self, kind: str) -> Column:
-        path = f'$["{self.name}"]'
-        return F.try_variant_get(self.record, path, kind)
+    def _column(self, part: str) -> Column:
+        return q(f"__{part}_{self.name}")
+
+    @property
+    def value(self) -> Column:
+        return self._column("value")
 
     @property
     def kind(self) -> Column:
-        return F.schema_of_variant(self._get("variant"))
+        return self._column("kind")
 
     @property
     def text(self) -> Column:
-        return self._get("string")
+        return self._column("text")
 
     @property
-    def is_number(self) -> Column:
-        return self.kind.isin("BIGINT", "DOUBLE", "FLOAT") | self.kind.startswith("DECIMAL")
+    def number(self) -> Column:
+        return self._column("number")
+
+    @property
+    def integer(self) -> Column:
+        return self._column("integer")
 
     @property
     def missing(self) -> Column:
         """Absent, null or an empty text."""
-        kind = self.kind
-        return kind.isNull() | (kind == "VOID") | ((kind == "STRING") & (self.text == ""))
+        return self.kind.isNull() | (self.kind == "VOID") | ((self.kind == "STRING") & (self.text == ""))
 
     @property
     def shown(self) -> Column:
         """The value as it appears in a message."""
         return (
             F.when(self.kind == "BOOLEAN", F.initcap(self.text))
-            .when(self.kind.startswith("DECIMAL"), self._get("double").cast("string"))
+            .when(self.kind.startswith("DECIMAL"), self.text.try_cast("double").cast("string"))
             .otherwise(self.text)
         )
 
     @property
-    def number(self) -> Column:
+    def is_number(self) -> Column:
+        return self.kind.isin("BIGINT", "DOUBLE", "FLOAT") | self.kind.startswith("DECIMAL")
+
+    def as_number(self) -> Column:
         """The value as a double; NULL when it is not a number."""
-        text = self.text
-        sign = F.regexp_extract(text, INFINITE_TEXT, 1)
+        sign = F.regexp_extract(self.text, INFINITE_TEXT, 1)
         from_text = F.when(
-            text.rlike(INFINITE_TEXT), F.when(sign == "-", float("-inf")).otherwise(float("inf"))
-        ).otherwise(F.regexp_extract(text, NUMBER_TEXT, 1).try_cast("double"))
+            self.text.rlike(INFINITE_TEXT), F.when(sign == "-", float("-inf")).otherwise(float("inf"))
+        ).otherwise(F.regexp_extract(self.text, NUMBER_TEXT, 1).try_cast("double"))
         return (
-            F.when(self.kind == "STRING", from_text)
-            .when(self.kind == "BOOLEAN", self._get("boolean").cast("int").cast("double"))
-            .when(self.is_number, self._get("double"))
+            F.when(self.is_number, self.text.try_cast("double"))
+            .when(self.kind == "STRING", from_text)
+            .when(self.kind == "BOOLEAN", (self.text == "true").cast("double"))
         )
 
-    @property
-    def integer(self) -> Column:
+    def as_integer(self) -> Column:
         """The value as a whole number, fractions cut off; a fraction written as text is none."""
-        number = self._get("double")
+        number = self.text.try_cast("double")
         whole = F.when(number >= 0, F.floor(number)).otherwise(F.ceil(number))
         return (
-            F.when(self.kind == "STRING", F.regexp_extract(self.text, INTEGER_TEXT, 1).try_cast("bigint"))
-            .when(self.kind == "BOOLEAN", self._get("boolean").cast("bigint"))
-            .when(self.kind == "BIGINT", self._get("bigint"))
+            F.when(self.kind == "BIGINT", self.text.try_cast("bigint"))
+            .when(self.kind == "STRING", F.regexp_extract(self.text, INTEGER_TEXT, 1).try_cast("bigint"))
+            .when(self.kind == "BOOLEAN", (self.text == "true").cast("bigint"))
             .when(self.is_number, F.when(F.abs(number) < 1e18, whole.cast("bigint")))
         )
 
 
+def _read_fields(df: DataFrame, spec: FeatureSpec, body: str) -> tuple[DataFrame, dict]:
+    """Parses each record once and each field once, step by step, so that nothing is repeated."""
+    fields = {c: _Field(c) for c in spec.features}
+
+    def named(part, make, names=spec.features):
+        return [make(fields[c]).alias(f"__{part}_{c}") for c in names]
+
+    record = F.col("__record")
+    parsed = df.withColumn("__record", F.try_parse_json(q(body)))
+    parsed = parsed.select(
+        *[q(c) for c in df.columns],
+        (record.isNull() | F.is_variant_null(record)).alias("__no_json"),
+        q(body).rlike(OBJECT_TEXT).alias("__object"),
+        *named("value", lambda f: F.try_variant_get(record, f'$["{f.name}"]', "variant")),
+    )
+    parsed = parsed.select(
+        "*",
+        *named("kind", lambda f: F.schema_of_variant(f.value)),
+        *named("text", lambda f: F.try_variant_get(f.value, "$", "string")),
+    )
+    parsed = parsed.select(
+        "*", *named("number", _Field.as_number, spec.numeric), *named("integer", _Field.as_integer, spec.binary)
+    )
+    return parsed, fields
+
+
 def _plain(x: float) -> str:
     return f"{x:g}" if x == int(x) else repr(x)
 
@@ -131,10 +164,7 @@ def validate_records(df: DataFrame, spec: FeatureSpec, body: str = "body") -> Da
     Shape comes first, then missing fields alone, then ranges, flags and categories in the spec's
     order. Fields the spec does not name are ignored.
     """
-    parsed = df.withColumn("__record", F.try_parse_json(q(body)))
-    record = F.col("__record")
-    kind = F.schema_of_variant(record)
-    fields = {c: _Field(c, record) for c in spec.features}
+    parsed, fields = _read_fields(df, spec, body)
     missing = _present([
         F.when(fields[c].missing, F.lit(f"Missing required field: '{c}'")) for c in spec.features
     ])
@@ -144,8 +174,8 @@ def validate_records(df: DataFrame, spec: FeatureSpec, body: str = "body") -> Da
         + [_category_error(fields[c], spec) for c in spec.categorical]
     )
     errors = (
-        F.when(kind.isNull() | (kind == "VOID"), F.array(F.lit(NOT_JSON)))
-        .when(~kind.startswith("OBJECT"), F.array(F.lit(NOT_OBJECT)))
+        F.when(F.coalesce(F.col("__no_json"), F.lit(True)), F.array(F.lit(NOT_JSON)))
+        .when(~F.col("__object"), F.array(F.lit(NOT_OBJECT)))
         .when(F.size(missing) > 0, missing)
         .otherwise(wrong)
     )

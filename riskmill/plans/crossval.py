@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
-from functools import reduce
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskmill.functions.scalars import q
+from riskmill.functions.scalars import one_row, q
 from riskmill.operators.choose import cv_summary, select_candidate
-from riskmill.operators.metrics import fold_metrics, metrics_at, ranking_metrics
+from riskmill.operators.metrics import all_metrics, fold_metrics
 from riskmill.operators.models import CANDIDATES, Fitted, ModelSettings, fit_candidate
 from riskmill.operators.smotenc import smotenc
 from riskmill.operators.split import stratified_kfold, stratified_split
@@ -107,11 +106,7 @@ def oof_check(folds: DataFrame, scores: DataFrame, spec: FeatureSpec) -> DataFra
 def evaluate_once(fitted: Fitted, test: DataFrame, spec: FeatureSpec, threshold: float = 0.5) -> DataFrame:
     """All metrics of one fitted candidate on rows it has never seen, as one row."""
     scored = materialize(_scored(fitted, test, spec, 0, 0), "test-scores")
-    ranking = ranking_metrics(scored)
-    return metrics_at(scored, threshold).select(
-        "*", ranking.select("roc_auc").scalar().alias("roc_auc"),
-        ranking.select("average_precision").scalar().alias("average_precision"),
-    )
+    return all_metrics(scored, threshold)
 
 
 def candidate_summary(
@@ -131,8 +126,5 @@ def candidate_summary(
         "selection_note",
     )
     names = ("accuracy", "precision", "recall", "f1_score", "roc_auc", "specificity")
-    return cv.select("*", *[tested.select(m).scalar().alias(f"test_{m}") for m in names])
-
+    return cv.select("*", *one_row(tested.select(*[F.col(m).alias(f"test_{m}") for m in names])))
 
-def union_all(frames) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)

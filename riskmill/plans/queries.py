@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskmill.functions.scalars import band, class_label, q
 from riskmill.operators import choose, clean, encode, metrics, profile, rules, smotenc, split, validate, weights
 from riskmill.operators.models import (
-    BOOSTING, EXTREME, FOREST, LOGISTIC, LinearScorer, fit_candidate, lr_gradient, score_with,
+    BOOSTING, CANDIDATES, EXTREME, FOREST, LOGISTIC, LinearScorer, ModelSettings, fit_candidate, lr_gradient,
+    score_with,
 )
 from riskmill.operators.scoring import responses, score_table
-from riskmill.plans import crossval, final_fit, fixtures
+from riskmill.plans import crossval, final_fit
 from riskmill.plans.fixtures import (
     DOC_SPEC, EVENT_TYPES, ORDER_SPEC, RISK_SPEC, dirty_events, labelled_documents, record_lines, risk_events,
     risk_orders, scored_events, table,
@@ -35,6 +36,9 @@ CHOSEN = LinearScorer(
     categorical={"x_cat": {"click": -0.1, "error": 0.55, "purchase": 0.2, "signup": -0.25, "view": 0.05}},
     binary={"x_bin": 0.3},
 )
+SMALL_TREES = ModelSettings(
+    forest_trees=20, forest_depth=8, boosting_rounds=10, extreme_rounds=10, extreme_depth=4
+)
 COMBO_SPEC = FeatureSpec(
     key="doc_id", numeric=("n_chars",), categorical=("combo",), binary=("quality",), target="toxic"
 )
@@ -185,8 +189,9 @@ def scale_numeric(spark, sf):
 
 
 def one_hot_long(spark, sf):
-    learned = encode.Encoding.fit(_train(spark, sf), RISK_SPEC)
-    return rounded(encode.encode_long(risk_events(spark, sf), learned))
+    parts = materialize(_risk_split(spark, sf), "split")
+    learned = encode.Encoding.fit(parts.filter(F.col("split") == "train"), RISK_SPEC)
+    return rounded(encode.encode_long(parts, learned))
 
 
 def vector_slots(spark, sf):
@@ -268,15 +273,24 @@ def _optimality(spark, sf, strategy):
     return gradient.select("slot", (F.abs("gradient") < 1e-6).alias("at_optimum"))
 
 
-def cv_grid(spark, sf):
-    """The three logistic candidates, five folds."""
+def _cv(spark, sf, candidates, settings=ModelSettings()):
     rows = crossval.split_rows(risk_events(spark, sf), RISK_SPEC)
     train = rows.filter(F.col("split") == "train").drop("split")
     folds = crossval.fold_rows(train, RISK_SPEC)
-    scores = crossval.out_of_fold_scores(folds, RISK_SPEC, [(LOGISTIC, s) for s in ("baseline", "class_weight", "smotenc")])
+    scores = crossval.out_of_fold_scores(folds, RISK_SPEC, candidates, settings=settings)
     return rounded(crossval.cv_results(scores), 4)
 
 
+def cv_grid(spark, sf):
+    """The three logistic candidates, five folds."""
+    return _cv(spark, sf, [c for c in CANDIDATES if c[0] == LOGISTIC])
+
+
+def cv_grid_trees(spark, sf):
+    """The seven tree candidates, five folds, with smaller models than the single fits below."""
+    return _cv(spark, sf, [c for c in CANDIDATES if c[0] != LOGISTIC], SMALL_TREES)
+
+
 def oof_scores(spark, sf):
     scores = final_fit.oof_scores(_train(spark, sf), RISK_SPEC, (LOGISTIC, "class_weight"))
     return scores.select(
@@ -462,6 +476,7 @@ def all_queries():
         "lr_optimality": lambda s, sf: _optimality(s, sf, "baseline"),
         "lr_weighted_optimality": lambda s, sf: _optimality(s, sf, "class_weight"),
         "cv_grid": cv_grid,
+        "cv_grid_trees": cv_grid_trees,
         "oof_scores": oof_scores,
         "candidate_summary": candidate_summary,
         "final_fit_report": final_fit_report,

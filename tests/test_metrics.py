@@ -117,3 +117,15 @@ def test_thin_curve_keeps_its_area(scored):
 def test_default_equal_to_alternative(scored):
     assert metrics.evaluation_report(scored, 0.5).count() == 1
     assert {r["delta"] for r in metrics.metric_compare(scored, 0.5).collect()} == {0.0}
+
+
+def test_groups_over_many_ranges(scored, monkeypatch):
+    grouped = scored.withColumn("g", F.when(F.col("k") % 9 == 0, "small").otherwise("large"))
+    want = {r["g"]: r.asDict() for r in metrics.all_metrics(grouped, 0.3, ("g",)).collect()}
+    monkeypatch.setattr(prefix, "ROWS_PER_RANGE", 70)
+    got = {r["g"]: r.asDict() for r in metrics.all_metrics(grouped, 0.3, ("g",)).collect()}
+    assert set(got) == {"small", "large"}
+    for g in got:
+        assert {k: v for k, v in got[g].items() if k != "g"} == pytest.approx({k: v for k, v in want[g].items() if k != "g"})
+    at = {r["g"]: r for r in metrics.metrics_at(grouped, 0.3, ("g",)).collect()}
+    assert all(got[g][c] == at[g][c] for g in got for c in (*metrics.COUNTS, "f1_score"))
