@@ -88,7 +88,9 @@ class Encoding:
             one_hot = OneHotEncoder(
                 inputCols=indexed, outputCols=[f"cat__{c}" for c in spec.categorical], dropLast=True
             )
-            stages += [indexer, _fit_one_hot(spark, one_hot, self)]
+            # The indexer states the number of values in the column metadata, which is all that is fitted.
+            blank = spark.createDataFrame([], ", ".join(f"`{c}` string" for c in spec.categorical))
+            stages += [indexer, one_hot.fit(indexer.transform(blank))]
         assembler = VectorAssembler(
             inputCols=[f"num__{c}" for c in spec.numeric] + [f"cat__{c}" for c in spec.categorical]
             + [f"bin__{c}" for c in spec.binary],
@@ -97,14 +99,6 @@ class Encoding:
         return PipelineModel(stages=[*stages, assembler])
 
 
-def _fit_one_hot(spark: SparkSession, encoder: OneHotEncoder, encoding: Encoding):
-    """Fits on the largest index of every column, which is all the encoder learns."""
-    spec = encoding.spec
-    top = ", ".join(f"{len(encoding.labels[c])}D AS `ix__{c}`" for c in spec.categorical)
-    zero = ", ".join("0D" for _ in spec.categorical)
-    return encoder.fit(spark.sql(f"SELECT {top} UNION ALL SELECT {zero}"))
-
-
 def encode(df: DataFrame, encoding: Encoding) -> DataFrame:
     return encoding.transformer(df.sparkSession).transform(df)
 

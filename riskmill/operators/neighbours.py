@@ -201,10 +201,13 @@ class _Search:
         axes = [_AxisParts(self.profiles, f"v{i}") for i in range(self.m)]
         depth = -1
         for d in range(self.c + 1):
-            if bounds.filter(F.col("bound") >= F.lit(d * self.cost)).isEmpty():
-                break
             bounds = materialize(self.tighten(bounds, d, axes), "neighbour-bounds")
+            widest = bounds.agg(F.max("bound")).first()[0]
+            if widest is None:
+                break
             depth = d
+            if widest < (d + 1) * self.cost:
+                break
         reach = self.profiles.agg(F.max(F.greatest(*[F.abs(f"v{i}") for i in range(self.m)], F.lit(0.0)))).first()[0]
         floor_radius = max(self.cost**0.5 * 1e-6, (reach or 0.0) * 2.0**-50, 1e-300)
         pairs = [self.profiles.select("pid", F.lit(0.0).alias("dist"), "members", *self.values)]
