@@ -127,6 +127,12 @@ def encode_long(df: DataFrame, encoding: Encoding, keep=()) -> DataFrame:
     return df.select(spec.key, *keep, F.inline(present))
 
 
+def write_encoded(parts: DataFrame, encoding: Encoding, path: str) -> None:
+    """The encoded rows of every part of a split as Parquet, one folder per part."""
+    rows = encode_long(parts, encoding, keep=("split", encoding.spec.target))
+    rows.hint("rebalance", F.col("split")).write.partitionBy("split").parquet(path)
+
+
 def slot_names(df: DataFrame, encoding: Encoding) -> DataFrame:
     """``position, slot`` of every vector position."""
     names = list(enumerate(encoding.slots()))

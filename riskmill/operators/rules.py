@@ -9,6 +9,15 @@ from pyspark.sql import functions as F
 
 from riskmill.functions.scalars import outside, q
 
+# What is said before and after the number of suspicious rows.
+MESSAGES = {
+    "at_most": ("{column} <= {bound} found in ", " rows"),
+    "below": ("{column} < {bound} found in ", " rows"),
+    "negative": ("negative {column} found in ", " rows"),
+    "not_in": ("{column} has ", " values outside {allowed}"),
+}
+NO_VIOLATION = "No invalid/impossible values detected in the checked columns."
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -28,14 +37,11 @@ class Rule:
         return F.coalesce(hit, F.lit(False))
 
     def message(self, n: Column) -> Column:
-        if self.kind == "at_most":
-            return F.format_string(f"{self.column} <= {self.bound:g} found in %d rows", n)
-        if self.kind == "below" and self.bound == 0:
-            return F.format_string(f"negative {self.column} found in %d rows", n)
-        if self.kind == "below":
-            return F.format_string(f"{self.column} < {self.bound:g} found in %d rows", n)
+        kind = "negative" if self.kind == "below" and self.bound == 0 else self.kind
         allowed = ",".join(str(v) for v in self.domain)
-        return F.format_string(f"{self.column} has %d values outside {{{allowed}}}", n)
+        before, after = MESSAGES[kind]
+        names = {"column": self.column, "bound": f"{self.bound:g}", "allowed": f"{{{allowed}}}"}
+        return F.concat(F.lit(before.format(**names)), n.cast("string"), F.lit(after.format(**names)))
 
 
 def at_most(column: str, bound: float = 0) -> Rule:
@@ -77,7 +83,7 @@ def violations_report(df: DataFrame, rules) -> DataFrame:
     )
     none = F.array(F.struct(
         F.lit(-1).alias("seq"), F.lit(None).cast("string").alias("column"), F.lit(0).cast("bigint").alias("n"),
-        F.lit("No invalid/impossible values detected in the checked columns.").alias("message"),
+        F.lit(NO_VIOLATION).alias("message"),
     ))
     return counted.select(F.inline(F.when(F.size(lines) > 0, lines).otherwise(none)))
 

@@ -16,6 +16,12 @@ from riskmill.spec import FeatureSpec
 # The messages of rejected records.
 NOT_JSON = "Request body must be valid JSON."
 NOT_OBJECT = "Request body must be a JSON object."
+MISSING = "Missing required field: '{field}'"
+INVALID = "Invalid {field}: "
+NOT_A_NUMBER = ". Must be a number."
+OUT_OF_RANGE = ". Must be between {lo} and {hi}."
+NOT_A_FLAG = ". Must be 0 or 1."
+NOT_IN_DOMAIN = "'. Must be one of: {allowed}"
 
 NUMBER_TEXT = r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)\s*$"
 INTEGER_TEXT = r"^\s*([+-]?\d+)\s*$"
@@ -124,32 +130,37 @@ def _plain(x: float) -> str:
     return f"{x:g}" if x == int(x) else repr(x)
 
 
+def _about(field: str, shown: Column, problem: str) -> Column:
+    return F.concat(F.lit(INVALID.format(field=field)), shown, F.lit(problem))
+
+
+def _range_text(lo: float, hi: float) -> str:
+    return OUT_OF_RANGE.format(lo=_plain(lo), hi=_plain(hi))
+
+
+def _domain_text(domain) -> str:
+    return NOT_IN_DOMAIN.format(allowed=sorted(domain) if domain else "any text")
+
+
 def _range_error(f: _Field, spec: FeatureSpec) -> Column:
     number = f.number
-    not_number = F.concat(F.lit(f"Invalid {f.name}: "), f.shown, F.lit(". Must be a number."))
-    error = F.when(number.isNull(), not_number)
+    error = F.when(number.isNull(), _about(f.name, f.shown, NOT_A_NUMBER))
     if f.name in spec.ranges:
         lo, hi = spec.ranges[f.name]
-        outside = F.concat(
-            F.lit(f"Invalid {f.name}: "), f.shown, F.lit(f". Must be between {_plain(lo)} and {_plain(hi)}.")
-        )
-        error = error.when(~number.between(lo, hi), outside)
+        error = error.when(~number.between(lo, hi), _about(f.name, f.shown, _range_text(lo, hi)))
     return error
 
 
 def _flag_error(f: _Field) -> Column:
     good = F.coalesce(f.integer.isin(0, 1), F.lit(False))
-    return F.when(~good, F.concat(F.lit(f"Invalid {f.name}: "), f.shown, F.lit(". Must be 0 or 1.")))
+    return F.when(~good, _about(f.name, f.shown, NOT_A_FLAG))
 
 
 def _category_error(f: _Field, spec: FeatureSpec) -> Column:
     domain = spec.domains.get(f.name)
     known = f.text.isin(*domain) if domain else F.lit(True)
     good = F.coalesce((f.kind == "STRING") & known, F.lit(False))
-    allowed = str(sorted(domain)) if domain else "any text"
-    return F.when(
-        ~good, F.concat(F.lit(f"Invalid {f.name}: '"), f.shown, F.lit(f"'. Must be one of: {allowed}"))
-    )
+    return F.when(~good, _about(f.name, F.concat(F.lit("'"), f.shown), _domain_text(domain)))
 
 
 def _present(messages) -> Column:
@@ -166,7 +177,7 @@ def validate_records(df: DataFrame, spec: FeatureSpec, body: str = "body") -> Da
     """
     parsed, fields = _read_fields(df, spec, body)
     missing = _present([
-        F.when(fields[c].missing, F.lit(f"Missing required field: '{c}'")) for c in spec.features
+        F.when(fields[c].missing, F.lit(MISSING.format(field=c))) for c in spec.features
     ])
     wrong = _present(
         [_range_error(fields[c], spec) for c in spec.numeric]
@@ -190,26 +201,24 @@ def validate_records(df: DataFrame, spec: FeatureSpec, body: str = "body") -> Da
 def validate_rows(df: DataFrame, spec: FeatureSpec) -> DataFrame:
     """The same checks for a table that already has typed columns."""
     missing = _present([
-        F.when(q(c).isNull() | (q(c).cast("string") == ""), F.lit(f"Missing required field: '{c}'"))
+        F.when(q(c).isNull() | (q(c).cast("string") == ""), F.lit(MISSING.format(field=c)))
         for c in spec.features
     ])
     messages = []
     for c in spec.numeric:
         lo, hi = spec.ranges.get(c, (float("-inf"), float("inf")))
-        text = F.concat(F.lit(f"Invalid {c}: "), q(c).cast("string"))
-        messages.append(
-            F.when(F.isnan(q(c).cast("double")), F.concat(text, F.lit(". Must be a number.")))
-            .when(~q(c).between(lo, hi), F.concat(text, F.lit(f". Must be between {_plain(lo)} and {_plain(hi)}.")))
-        )
+        text = q(c).cast("string")
+        error = F.when(F.isnan(q(c).cast("double")), _about(c, text, NOT_A_NUMBER))
+        if c in spec.ranges:
+            error = error.when(~q(c).between(lo, hi), _about(c, text, _range_text(lo, hi)))
+        messages.append(error)
     for c in spec.binary:
-        messages.append(F.when(
-            ~q(c).isin(0, 1), F.concat(F.lit(f"Invalid {c}: "), q(c).cast("string"), F.lit(". Must be 0 or 1."))
-        ))
+        messages.append(F.when(~q(c).isin(0, 1), _about(c, q(c).cast("string"), NOT_A_FLAG)))
     for c in spec.categorical:
         if c in spec.domains:
             messages.append(F.when(
                 ~q(c).isin(*spec.domains[c]),
-                F.concat(F.lit(f"Invalid {c}: '"), q(c), F.lit(f"'. Must be one of: {sorted(spec.domains[c])}")),
+                _about(c, F.concat(F.lit("'"), q(c)), _domain_text(spec.domains[c])),
             ))
     errors = F.when(F.size(missing) > 0, missing).otherwise(_present(messages))
     return df.withColumn("errors", errors)

@@ -454,6 +454,13 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL SELECT row_id, 'cat__x_cat_' || x_cat, 1e0 FROM risk
               WHERE x_cat IN (SELECT x_cat FROM parted WHERE split = 'train')
             UNION ALL SELECT row_id, 'bin__x_bin', 1e0 FROM risk WHERE x_bin = 1""",
+        "encoded_tables": f"""WITH {RISK_SPLIT}, t AS (SELECT avg(x_num) AS m, stddev_pop(x_num) AS s FROM parted
+              WHERE split = 'train'), long AS (
+            SELECT split, target, 'num__x_num' AS slot, (x_num - m) / s AS value FROM parted, t
+            UNION ALL SELECT split, target, 'cat__x_cat_' || x_cat, 1e0 FROM parted
+              WHERE x_cat IN (SELECT x_cat FROM parted WHERE split = 'train')
+            UNION ALL SELECT split, target, 'bin__x_bin', 1e0 FROM parted WHERE x_bin = 1)
+            SELECT split, target, slot, count(*) AS n, round(sum(value), 4) AS total FROM long GROUP BY ALL""",
         "vector_slots": f"""WITH {RISK}, t AS (SELECT avg(x_num) AS m, stddev_pop(x_num) AS s FROM risk)
             SELECT row_id, 'num__x_num' AS slot, round((x_num - m) / s, 6) AS value FROM risk, t
             UNION ALL SELECT row_id, 'cat__x_cat_' || x_cat, 1e0 FROM risk

@@ -194,6 +194,17 @@ def one_hot_long(spark, sf):
     return rounded(encode.encode_long(parts, learned))
 
 
+def encoded_tables(spark, sf):
+    """Train and test matrices written and read back, summed per slot."""
+    parts = materialize(_risk_split(spark, sf), "split")
+    learned = encode.Encoding.fit(parts.filter(F.col("split") == "train"), RISK_SPEC)
+    path = new_folder(spark, "encoded")
+    encode.write_encoded(parts, learned, path)
+    return rounded(tables.scan_parquet(spark, path).groupBy("split", "target", "slot").agg(
+        F.count("*").alias("n"), F.sum("value").alias("total")
+    ), 4)
+
+
 def vector_slots(spark, sf):
     """The ML vector column read back slot by slot, by position name."""
     from pyspark.ml.functions import vector_to_array
@@ -460,6 +471,7 @@ def all_queries():
         "select_features": select_features,
         "scale_numeric": scale_numeric,
         "one_hot_long": one_hot_long,
+        "encoded_tables": encoded_tables,
         "vector_slots": vector_slots,
         "slot_names": slot_names,
         "encode_unseen": encode_unseen,
