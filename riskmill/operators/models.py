@@ -121,15 +121,26 @@ def _classifier(model: str, weight_total: float, s: ModelSettings):
     raise ValueError(f"Unknown model: {model}")
 
 
+def learn(rows: DataFrame, spec: FeatureSpec) -> tuple[Encoding, dict]:
+    """The encoding of training rows, their class counts and about how many differ."""
+    encoding, facts = Encoding.fit_with(rows, spec, {
+        "n0": F.count_if(q(spec.target) == 0), "n1": F.count_if(q(spec.target) == 1),
+        "distinct": F.approx_count_distinct(F.xxhash64(*spec.features)),
+    })
+    if not facts["n0"] or not facts["n1"]:
+        raise ValueError("training rows must hold both classes")
+    return encoding, facts
+
+
 def fit_candidate(
-    train: DataFrame, spec: FeatureSpec, model: str, strategy: str,
-    settings: ModelSettings = ModelSettings(), resampled: DataFrame | None = None,
+    train: DataFrame, spec: FeatureSpec, model: str, strategy: str, settings: ModelSettings = ModelSettings(),
+    resampled: DataFrame | None = None, learned: tuple[Encoding, dict] | None = None,
 ) -> Fitted:
     """Resample, learn the encoding from the resampled rows, fit the classifier.
 
-    Only ``train`` is looked at. ``resampled`` may pass its resampled rows in when several
-    candidates share them. Where a table has few distinct rows, logistic regression and boosting
-    are fitted on the collapsed rows.
+    Only ``train`` is looked at. ``resampled`` and ``learned`` may pass in its resampled rows and
+    what was learned from the fitted rows when several candidates share them. Where a table has
+    few distinct rows, logistic regression and boosting are fitted on the collapsed rows.
     """
     if model not in (LOGISTIC, FOREST, BOOSTING, EXTREME):
         raise ValueError(f"Unknown model: {model}")
@@ -141,16 +152,9 @@ def fit_candidate(
             smotenc(train, spec, settings.ratio, settings.neighbours, settings.seed), "resampled"
         )
     rows = rows.select(*spec.features, spec.target)
-    encoding, facts = Encoding.fit_with(rows, spec, {
-        "n0": F.count_if(q(spec.target) == 0), "n1": F.count_if(q(spec.target) == 1),
-        "distinct": F.approx_count_distinct(F.xxhash64(*spec.features)),
-    })
+    encoding, facts = learned or learn(rows, spec)
     n0, n1 = facts["n0"], facts["n1"]
-    if not n0 or not n1:
-        raise ValueError("training rows must hold both classes")
-    weight_total = {
-        "scale_pos_weight": float(n0 + n0),
-    }.get(strategy, float(n0 + n1))
+    weight_total = float(n0 + n0 if strategy == "scale_pos_weight" else n0 + n1)
     collapsible = model != FOREST and 10 * facts["distinct"] <= n0 + n1
     data = collapse_rows(rows, spec) if collapsible else rows.withColumn("copies", F.lit(1.0))
     weight = F.col("copies") * strategy_weight(spec, strategy, n0, n1)

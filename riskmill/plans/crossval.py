@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from riskmill.functions.scalars import one_row, q
 from riskmill.operators.choose import cv_summary, select_candidate
 from riskmill.operators.metrics import all_metrics, fold_metrics
-from riskmill.operators.models import CANDIDATES, Fitted, ModelSettings, fit_candidate
+from riskmill.operators.models import CANDIDATES, Fitted, ModelSettings, fit_candidate, learn
 from riskmill.operators.smotenc import smotenc
 from riskmill.operators.split import stratified_kfold, stratified_split
 from riskmill.session import materialize, new_folder
@@ -52,8 +52,8 @@ def out_of_fold_scores(
 ) -> DataFrame:
     """Every training row scored once per candidate by the model that has not seen its fold.
 
-    Resampled rows are made once per fold and shared. Each fit's scores are written as soon as
-    they exist, so a lost executor costs one fit at most.
+    Resampled rows are made and encodings are learned once per fold and shared. Each fit's scores
+    are written as soon as they exist, so a lost executor costs one fit at most.
     """
     spark = folds.sparkSession
     unknown = [c for c in candidates if c not in CANDIDATES]
@@ -61,23 +61,30 @@ def out_of_fold_scores(
         raise ValueError(f"Unknown candidates: {unknown}")
     path = new_folder(spark, "scores")
     resampled: dict[int, DataFrame] = {}
+    learned: dict[tuple[int, bool], tuple] = {}
 
-    def resample(fold: int):
-        train = folds.filter(F.col("fold") != fold)
-        new = smotenc(train, spec, settings.ratio, settings.neighbours, settings.seed)
-        resampled[fold] = materialize(new, f"resampled-{fold}")
+    def train_rows(fold: int) -> DataFrame:
+        return folds.filter(F.col("fold") != fold)
+
+    def prepare(fold: int, synthetic: bool):
+        rows = train_rows(fold)
+        if synthetic:
+            new = smotenc(rows, spec, settings.ratio, settings.neighbours, settings.seed)
+            rows = resampled[fold] = materialize(new, f"resampled-{fold}")
+        learned[fold, synthetic] = learn(rows, spec)
 
     def fit(seq: int, model: str, strategy: str, fold: int):
-        train = folds.filter(F.col("fold") != fold)
-        fitted = fit_candidate(train, spec, model, strategy, settings, resampled.get(fold))
+        synthetic = strategy == "smotenc"
+        fitted = fit_candidate(
+            train_rows(fold), spec, model, strategy, settings, resampled.get(fold), learned[fold, synthetic]
+        )
         held_out = folds.filter(F.col("fold") == fold)
         _scored(fitted, held_out, spec, seq, fold).write.parquet(f"{path}/fit={seq}-{fold}")
 
-    if any(strategy == "smotenc" for _, strategy in candidates):
-        _run_all(spark, [lambda fold=fold: resample(fold) for fold in range(k)])
+    kinds = {strategy == "smotenc" for _, strategy in candidates}
+    _run_all(spark, [lambda a=(fold, kind): prepare(*a) for kind in sorted(kinds) for fold in range(k)])
     _run_all(spark, [
-        lambda a=(CANDIDATES.index((m, s)), m, s, fold): fit(*a)
-        for m, s in candidates for fold in range(k)
+        lambda a=(CANDIDATES.index((m, s)), m, s, fold): fit(*a) for m, s in candidates for fold in range(k)
     ])
     return spark.read.schema(SCORED).parquet(path)
 
