@@ -223,6 +223,14 @@ def _nulls(source: str, columns: list[str]) -> str:
     )
 
 
+def _schema(source: str, columns, types) -> str:
+    return " UNION ALL ".join(
+        f"""SELECT '{c}' AS column, '{t}' AS dtype, count({c}) AS non_null,
+        (SELECT {c}::VARCHAR FROM {source} WHERE {c} IS NOT NULL ORDER BY event_id LIMIT 1) AS example FROM {source}"""
+        for c, t in zip(columns, types, strict=True)
+    )
+
+
 def _histogram(source: str, column: str) -> str:
     return f"""lim AS (SELECT min({column}) AS lo, max({column}) AS hi, (max({column}) - min({column})) / 30 AS w
     FROM {source}),
@@ -345,10 +353,10 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL SELECT 'event_type', CAST(sum(n) AS BIGINT), count(*),
               (SELECT v FROM types ORDER BY n DESC, v LIMIT 1), max(n), NULL, NULL, NULL, NULL, NULL, NULL, NULL
             FROM types""",
-        "schema_report": f"""WITH {DIRTY} {" UNION ALL ".join(
-            f"SELECT '{c}' AS column, '{t}' AS dtype, count({c}) AS non_null, "
-            f"(SELECT {c}::VARCHAR FROM dirty WHERE {c} IS NOT NULL ORDER BY event_id LIMIT 1) AS example FROM dirty"
-            for c, t in zip(dirty_columns, ('bigint', 'string', 'double', 'int'), strict=True))}""",
+        "schema_report": f"WITH {DIRTY} {_schema('dirty', dirty_columns, ('bigint', 'string', 'double', 'int'))}",
+        # Whole numbers with missing cells are read as doubles.
+        "csv_inferred": f"""WITH {DIRTY}, typed AS (SELECT * REPLACE (flag::DOUBLE AS flag) FROM dirty)
+            {_schema('typed', dirty_columns, ('bigint', 'string', 'double', 'double'))}""",
         "table_shape": f"""WITH {DIRTY} SELECT count(*) AS n_rows, 4 AS n_columns,
             'event_id,event_type,value,flag' AS columns FROM dirty""",
         "role_inference": f"""WITH {DIRTY} {" UNION ALL ".join(

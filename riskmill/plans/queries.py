@@ -89,12 +89,22 @@ def dup_documents(spark, sf):
     return profile.dup_report(table(spark, sf, "documents").select("text", "lang", "source"), "text")
 
 
-def csv_roundtrip(spark, sf):
+def _dirty_csv(spark, sf):
     path = new_folder(spark, "csv")
     marked = dirty_events(spark, sf)
     marked = marked.select(*[F.coalesce(q(c).cast("string"), F.lit("N/A")).alias(c) for c in marked.columns])
     tables.write_csv(marked, path)
-    return tables.scan_csv(spark, path, "event_id bigint, event_type string, value double, flag int")
+    return path
+
+
+def csv_roundtrip(spark, sf):
+    return tables.scan_csv(spark, _dirty_csv(spark, sf), "event_id bigint, event_type string, value double, flag int")
+
+
+def csv_inferred(spark, sf):
+    """The same file without a schema: inferred types, then non-missing cells per column."""
+    path = _dirty_csv(spark, sf)
+    return profile.schema_report(tables.scan_csv(spark, path, tables.infer_csv_schema(spark, path)), "event_id")
 
 
 def clean_events(spark, sf):
@@ -453,6 +463,7 @@ def all_queries():
         "histogram_orders": lambda s, sf: rounded(profile.histogram(table(s, sf, "orders"), "o_totalprice")),
         "rule_violations_orders": lambda s, sf: rules.violations_report(risk_orders(s, sf), ORDER_RULES),
         "csv_roundtrip": csv_roundtrip,
+        "csv_inferred": csv_inferred,
         "clean_table": clean_events,
         "clean_report": clean_report,
         "rows_with_value": rows_with_value,

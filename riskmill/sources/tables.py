@@ -16,6 +16,45 @@ NULL_TOKENS = (
 )
 
 
+BOOLEAN_TEXTS = ("true", "True", "TRUE", "false", "False", "FALSE")
+WHOLE_TEXT = r"^\s*[+-]?\d+\s*$"
+NUMBER_TEXT = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+
+
+def infer_csv_schema(
+    spark: SparkSession, path: str, null_tokens=NULL_TOKENS, multi_line: bool = False
+) -> T.StructType:
+    """Column types from all cells of a header CSV, for looking at a file that has no spec yet.
+
+    Whole numbers are bigint, or double where a cell is missing; other numbers double; truth words
+    boolean where none is missing; a column of missing cells only double; anything else string.
+    """
+    raw = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line).csv(path)
+    checks = []
+    for i, c in enumerate(raw.columns):
+        cell = F.when(~q(c).isin(*null_tokens), q(c))
+        whole = cell.rlike(WHOLE_TEXT) & cell.try_cast("bigint").isNotNull()
+        checks.append(F.struct(
+            F.count("*").alias("rows"), F.count(cell).alias("cells"), F.count_if(whole).alias("whole"),
+            F.count_if(cell.rlike(NUMBER_TEXT)).alias("numbers"), F.count_if(cell.isin(*BOOLEAN_TEXTS)).alias("truth"),
+        ).alias(f"c{i}"))
+    row = raw.agg(*checks).first()
+    fields = []
+    for i, c in enumerate(raw.columns):
+        found = row[f"c{i}"]
+        complete = found["cells"] == found["rows"]
+        if found["cells"] and found["truth"] == found["cells"] and complete:
+            kind = T.BooleanType()
+        elif found["cells"] and found["whole"] == found["cells"] and complete:
+            kind = T.LongType()
+        elif found["numbers"] == found["cells"]:
+            kind = T.DoubleType()
+        else:
+            kind = T.StringType()
+        fields.append(T.StructField(c, kind))
+    return T.StructType(fields)
+
+
 def scan_csv(
     spark: SparkSession, path: str, schema: T.StructType | str, null_tokens=NULL_TOKENS,
     strict: bool = False, multi_line: bool = False,

@@ -56,3 +56,12 @@ def test_missing_equals_missing_in_duplicates(spark):
 def test_different_records_with_equal_answers_stay(spark):
     df = spark.createDataFrame([(1, "a"), (2, "a"), (2, "a")], "id int, s string")
     assert clean.clean_table(df, drop=("id",)).count() == 2
+
+
+def test_inferred_types(spark):
+    path = new_folder(spark, "infer")
+    body = "a,b,c,d,e,f\n1,1,1.5,True,x,\n2,NA,2,False,1,NA\n"
+    spark.createDataFrame([(line,) for line in body.splitlines()], "v string").coalesce(1).write.text(path)
+    schema = tables.infer_csv_schema(spark, path)
+    assert [f.dataType.simpleString() for f in schema] == ["bigint", "double", "double", "boolean", "string", "double"]
+    assert tables.scan_csv(spark, path, schema).count() == 2
