@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from riskmill.llm import bpe
+from riskmill.llm import bpe, exact_dedup, oracle, packing
 from riskmill.llm.shared import table
 
 
@@ -16,9 +16,17 @@ def op2_bpe(spark, sf_dir):
     return bpe.digests(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op8_exact_dedup(spark, sf_dir):
+    return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op9_best_fit_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary_path())
+
+
 def llm_queries():
-    return {"op2_bpe": op2_bpe}
+    return {"op2_bpe": op2_bpe, "op8_exact_dedup": op8_exact_dedup, "op9_best_fit_packing": op9_best_fit_packing}
 
 
 def llm_oracle_sql():
-    return {}
+    return dict(oracle.SQL)
