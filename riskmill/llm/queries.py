@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
-from riskmill.llm import bpe, exact_dedup, oracle, packing
+from riskmill.llm import bpe, exact_dedup, minhash, oracle, packing, quality, toxicity
 from riskmill.llm.shared import table
 
 
@@ -16,6 +17,21 @@ def op2_bpe(spark, sf_dir):
     return bpe.digests(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op3_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    scored = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def op6_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op7_minhash(spark, sf_dir):
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -25,7 +41,10 @@ def op9_best_fit_packing(spark, sf_dir):
 
 
 def llm_queries():
-    return {"op2_bpe": op2_bpe, "op8_exact_dedup": op8_exact_dedup, "op9_best_fit_packing": op9_best_fit_packing}
+    return {
+        "op2_bpe": op2_bpe, "op3_quality": op3_quality, "op6_toxicity": op6_toxicity, "op7_minhash": op7_minhash,
+        "op8_exact_dedup": op8_exact_dedup, "op9_best_fit_packing": op9_best_fit_packing,
+    }
 
 
 def llm_oracle_sql():

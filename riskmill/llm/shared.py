@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskmill.session import materialize
@@ -21,6 +21,25 @@ def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def labelled_sample(
+    docs: DataFrame, labels: DataFrame, label: str, per_class: int, allowed: Column | None = None
+) -> DataFrame:
+    """(doc_id, text, mark) of at most ``per_class`` documents of each class.
+
+    Those with the smallest hash of their identifier are taken, so the sample is the same however the tables are
+    stored. Repeated labels of a document count once (the larger one), repeated documents too. ``allowed``
+    restricts the labelled rows by their doc_id.
+    """
+    marks = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1))
+    if allowed is not None:
+        marks = marks.where(allowed)
+    marks = marks.groupBy("doc_id").agg(F.max(label).cast("int").alias("mark"))
+    classes = [marks.where(F.col("mark") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for c in (0, 1)]
+    chosen = F.broadcast(classes[0].unionAll(classes[1]))
+    rows = documents(docs).join(chosen, "doc_id")
+    return rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("mark").alias("mark"))
+
+
 def in_slices(
     make: Callable[[list, list[str]], dict], schema: pa.Schema, max_chars: int = 2_000_000
 ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
