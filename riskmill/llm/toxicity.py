@@ -5,8 +5,8 @@ probabilities. Features are sparse: the distinct words of a text and the beginni
 words, so that inflected and compounded insults count too. A text's sum is the sum over its distinct words, hence
 scoring needs one table look-up per word.
 
-Labels say toxic or not. Grades above the first are made from the fitting sample: toxic documents above the median
-density of telling features per hundred words are grade 2, the others grade 1, clean documents grade 0.
+Labels say toxic or not. Grades above the first are made from the fitting sample: toxic documents with more telling
+words than their median are grade 2, the others grade 1, clean documents grade 0.
 
 The model is fitted on a bounded sample of labelled rows (``Fit.per_class`` documents of each class, those with
 the smallest hash of their identifier). Only that sample reaches the driver.
@@ -34,14 +34,16 @@ SCORES = "doc_id long, expected_severity double, severity int, score double, tox
 
 @dataclass(frozen=True)
 class Fit:
-    """``features`` telling features at most; a feature needs ``least`` toxic documents of the sample."""
+    """``features`` telling features at most; a feature needs ``least`` toxic documents of the sample,
+    log-odds of ``odds`` and a surplus of ``deviations`` standard deviations over chance."""
 
-    per_class: int = 3000
-    features: int = 1500
-    least: int = 4
+    per_class: int = 5000
+    features: int = 1000
+    least: int = 5
     odds: float = 2.5
+    deviations: float = 8.0
     ridge: float = 0.05
-    steps: int = 400
+    steps: int = 300
 
 
 def word_features(word: bytes) -> list[bytes]:
@@ -72,27 +74,25 @@ class Model:
 def fit_ordinal(x: np.ndarray, grades: np.ndarray, levels: int, ridge: float, steps: int):
     """Weights (none negative) and thresholds that minimise the cumulative-link loss with a quadratic penalty.
 
-    Each document counts in every threshold's two-sided question and all classes weigh the same. Accelerated
-    gradient steps of the length that the curvature allows; thresholds are kept in order.
+    Each document counts in every threshold's two-sided question; the lowest grade weighs as much as the others
+    together. Accelerated gradient steps of the length that the curvature allows; thresholds are kept in order.
     """
     n, d = x.shape
     above = (grades[:, None] > np.arange(levels - 1)[None, :]).astype(np.float32)
     weight = np.zeros(n, np.float32)
     for g in range(levels):
-        weight[grades == g] = 1 / max(1, (grades == g).sum()) / levels
-    v, top = np.ones(d, np.float32), 1.0
-    for _ in range(30):  # largest curvature by power iteration
-        v = x.T @ (weight * (x @ v))
-        top = float(np.linalg.norm(v)) or 1.0
-        v /= top
-    step = 1 / (0.25 * (levels - 1) * (top + 1) + ridge / n)
+        weight[grades == g] = (0.5 if g == 0 else 0.5 / (levels - 1)) / max(1, (grades == g).sum())
+    # For features that are not negative, row sums bound the curvature of each weight.
+    rows = weight * (x.sum(1) + 1)
+    step_w = 1 / (0.25 * (levels - 1) * (x.T @ rows) + ridge / n)
+    step_t = 1 / (0.25 * rows.sum())
     w, t = np.zeros(d, np.float32), np.arange(levels - 1, dtype=np.float32)
     vw, vt = w.copy(), t.copy()
     for i in range(steps):
         p = 1 / (1 + np.exp(-np.clip((x @ vw)[:, None] - vt[None, :], -60, 60)))
         error = weight[:, None] * (p - above)
-        new_w = np.maximum(vw - step * (x.T @ error.sum(1) + ridge / n * vw), 0)
-        new_t = np.maximum.accumulate(vt + step * error.sum(0))
+        new_w = np.maximum(vw - step_w * (x.T @ error.sum(1) + ridge / n * vw), 0)
+        new_t = np.maximum.accumulate(vt + step_t * error.sum(0))
         momentum = i / (i + 3)
         vw, vt = new_w + momentum * (new_w - w), new_t + momentum * (new_t - t)
         w, t = new_w, new_t
@@ -102,19 +102,31 @@ def fit_ordinal(x: np.ndarray, grades: np.ndarray, levels: int, ridge: float, st
 def fit(docs: DataFrame, labels: DataFrame, how: Fit = Fit()) -> Model:
     """A model from a bounded sample of labelled documents, of which the distinct words reach the driver."""
     sample = labelled_sample(docs, labels, "toxic", how.per_class)
-    schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.int32()), ("n", pa.int64()), ("words", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.int32()), ("words", pa.binary())])
 
     def run(batches):
         for batch in batches:
             texts = [t.as_py().encode("utf-8", "surrogatepass").split() for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), batch.column("mark"), pa.array(map(len, texts), pa.int64()),
+                batch.column("doc_id"), batch.column("mark"),
                 pa.array([b" ".join(sorted(set(t))) for t in texts], pa.binary()),
             ], schema=schema)
 
-    rows = sorted(sample.mapInArrow(run, "doc_id long, mark int, n long, words binary").collect())
-    texts = [bytes(r["words"]).split() for r in rows]
-    toxic = np.array([r["mark"] for r in rows], bool)
+    rows = sorted(sample.mapInArrow(run, "doc_id long, mark int, words binary").collect())
+    return fit_rows([(r["mark"], bytes(r["words"]).split()) for r in rows], how)
+
+
+def fit_rows(rows: list[tuple[int, list[bytes]]], how: Fit = Fit()) -> Model:
+    """A model from (label, distinct words); near copies of a row (equal smallest hashes) count once."""
+    seen, once = set(), []
+    for row in rows:
+        mark = tuple(sorted(map(xxhash.xxh3_64_intdigest, row[1]))[:4])
+        if (row[0], mark) not in seen:
+            seen.add((row[0], mark))
+            once.append(row)
+    rows = once
+    texts = [r[1] for r in rows]
+    toxic = np.array([r[0] for r in rows], bool)
     if not toxic.any() or toxic.all():
         return Model({}, (60.0, 60.0))
     yes, no = {}, {}
@@ -123,24 +135,24 @@ def fit(docs: DataFrame, labels: DataFrame, how: Fit = Fit()) -> Model:
         for f in {f for w in words for f in word_features(w)}:
             into[f] = into.get(f, 0) + 1
     total_yes, total_no = toxic.sum(), (~toxic).sum()
-    odds = {
-        f: np.log((n + 0.1) / total_yes) - np.log((no.get(f, 0) + 0.1) / total_no)
-        for f, n in yes.items() if n >= how.least
-    }
+    share = total_yes / len(rows)
+    odds = {}
+    for f, n in yes.items():
+        c = no.get(f, 0)
+        if n >= how.least and n - (n + c) * share >= how.deviations * np.sqrt((n + c) * share * (1 - share)):
+            odds[f] = np.log((n + 0.1) / total_yes) - np.log((c + 0.5) / total_no)
     strong = sorted((f for f, v in odds.items() if v >= how.odds), key=lambda f: (-yes[f], f))[: how.features]
     place = {f: i for i, f in enumerate(strong)}
     x = np.zeros((len(texts), len(strong)), np.float32)
-    density = np.zeros(len(texts))
+    hits = np.zeros(len(texts))
     for i, words in enumerate(texts):
         for w in words:
             mine = [f for f in word_features(w) if f in place]
             if mine:
                 x[i, place[max(mine, key=lambda f: (odds[f], f))]] += 1
-                density[i] += 1
-        density[i] *= 100 / max(1, rows[i]["n"])
-    told = density[toxic & (density > 0)]
-    border = float(np.median(told)) if told.size else np.inf
-    grades = np.where(toxic, np.where(density > border, 2, 1), 0)
+                hits[i] += 1
+    border = float(np.median(hits[toxic & (hits > 0)])) if (toxic & (hits > 0)).any() else np.inf
+    grades = np.where(toxic, np.where(hits > border, 2, 1), 0)
     w, t = fit_ordinal(x, grades, 3, how.ridge, how.steps)
     told = {xxhash.xxh3_64_intdigest(f): (float(odds[f]), f, float(w[i])) for f, i in place.items()}
     return Model(told, tuple(map(float, t)))
