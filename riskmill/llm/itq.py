@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskmill.llm.shared import components
+from riskmill.llm.shared import components, with_fields
 from riskmill.session import materialize
 
 
@@ -74,7 +74,7 @@ def learn_rotation(classes: DataFrame, how: Codes) -> tuple[np.ndarray, np.ndarr
 def coded(classes: DataFrame, learned: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """``classes`` with their code as a 64-bit number (vectors of another length: code 0, which their label splits)."""
     shared = classes.sparkSession.sparkContext.broadcast(learned)
-    schema = classes.schema.add("code", "long")
+    schema = with_fields(classes.schema, code="long")
     names = [f.name for f in schema.fields]
 
     def run(batches):
@@ -162,7 +162,7 @@ def near_vectors(vectors: DataFrame, how: Codes = Codes()) -> DataFrame:
     numbered = classes.withColumn("id", F.col("vec_id"))
     if learned is not None:
         bits = min(how.bits, learned[1].shape[1])
-        fitted = Codes(how.cosine, bits, min(how.radius, bits - 1), how.sample, how.rounds, how.bucket)
+        fitted = Codes(how.cosine, bits, min(how.radius, bits), how.sample, how.rounds, how.bucket)
         codes = materialize(coded(numbered.select("id", "label", "v"), learned).select("id", "label", "code"), "codes")
         largest = codes.groupBy("label").count().agg(F.max("count")).first()[0]
         pairs = materialize(candidates(codes, fitted, largest), "candidates")

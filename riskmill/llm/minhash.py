@@ -8,8 +8,9 @@
 3. Each round, a list's members are paired with one member, its centre, unless a link already joins them to it. The
    estimate from the union of two sketches filters the pairs; intersections of the full sets confirm them. A
    group of n near copies needs about n pairs per round, not n². Centres change from round to round.
-4. Members that the rounds leave in different components of a list are then paired all, so no link is lost. Members
-   of the list's largest component are not paired with each other.
+4. Documents that the rounds leave in lists of several components meet once more, through prefixes of their full
+   sets: an exact filter, so no link between them is lost, and texts that are alike only below the threshold
+   don't meet. Members of a shingle's largest component are not paired with each other.
 
 Sets of words: A-Z are lower-cased and words are runs of bytes other than ASCII white space. A text with fewer than five
 words has its whole sequence as one shingle. Sketches that hold the whole set give the exact similarity.
@@ -27,7 +28,7 @@ from math import ceil
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskmill.llm.shared import WordCache, components, documents, in_slices
@@ -215,21 +216,61 @@ def near_links(docs: DataFrame, classes: DataFrame, how: Near = Near()) -> DataF
     if links is None:
         return spark.createDataFrame([], "a long, b long")
 
-    # The rest, whole: lists that still hold several components. The largest component's members meet the others only.
+    # The rest, whole: documents of lists that still hold several components meet through their full sets.
     rooted = lists.join(root, "id")
-    sizes = rooted.groupBy("value", "root").agg(F.count("*").alias("c"))
+    mixed = rooted.groupBy("value").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    loose = materialize(rooted.join(mixed.select("value"), "value").select("id", "root").distinct(), "loose")
+    rest = unlinked_pairs(loose, sets, how).join(tried, ["a", "b"], "left_anti")
+    last = confirmed(materialize(rest, "pairs"), sets, how)
+    return links.unionAll(materialize(last, "links"))
+
+
+def unlinked_pairs(loose: DataFrame, sets: DataFrame, how: Near) -> DataFrame:
+    """Every pair of (id, root) rows with different roots that can be similar enough, by prefixes of the full sets.
+
+    With shingles ordered from rare to frequent, two similar sets share one among the first ``1 - j`` of the larger
+    set and the first ``1 - 2j / (1 + j)`` of the smaller one. What each text has for itself fills these prefixes, so
+    texts that are alike only below the threshold do not meet. This is exact.
+    """
+    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("value", pa.int64())])
+
+    def run(batches):
+        for batch in batches:
+            for i, held in enumerate(batch.column("shingles")):
+                values = np.frombuffer(held.as_buffer(), np.int64)
+                doc = np.full(len(values), batch.column("id")[i].as_py())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(doc), pa.array(np.full(len(values), len(values))), pa.array(values)], schema=schema
+                )
+
+    whole = sets.select(F.col("doc_id").alias("id"), "shingles").join(loose.select("id"), "id", "left_semi")
+    postings = materialize(whole.mapInArrow(run, "id long, n long, value long"), "postings")
+    held = postings.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
+    common = postings.join(held, "value").groupBy("id").agg(
+        F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "value"))).alias("values")
+    )
+    own, j = F.col("n") - F.size("values"), how.percent
+    probe = F.col("n") - F.ceil(F.col("n") * j / 100) + 1 - own
+    index = F.col("n") - F.ceil(F.col("n") * 2 * j / (100 + j)) + 1 - own
+    first = common.select("id", "n", F.posexplode(F.slice("values.value", 1, F.greatest(probe, F.lit(0)).cast("int"))).alias(
+        "place", "value"), index.alias("index"))
+    rows = materialize(
+        first.join(loose, "id").select("id", "n", "root", "value", (F.col("place") < F.col("index")).alias("indexed")),
+        "prefixes",
+    )
+    sizes = rows.groupBy("value", "root").agg(F.count("*").alias("c"))
     main = sizes.groupBy("value").agg(F.max_by("root", "c").alias("main"), F.count("*").alias("several"))
-    main = main.where("several > 1").select("value", "main")
-    open_lists = materialize(rooted.join(main, "value"), "open-lists")
-    one = open_lists.where("root <> main").select("value", F.col("id").alias("x"), F.col("root").alias("rx"))
-    two = open_lists.select(
-        "value", F.col("id").alias("y"), F.col("root").alias("ry"), (F.col("root") == F.col("main")).alias("in_main")
+    mixed = rows.join(main.where("several > 1").select("value", "main"), "value")
+    one = mixed.where("root <> main").select(
+        "value", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"), F.col("indexed").alias("ix"))
+    two = mixed.select(
+        "value", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("root").alias("ry"), F.col("indexed").alias("iy"),
+        (F.col("root") == F.col("main")).alias("in_main"))
+    met = one.join(two, "value").where(
+        f"rx <> ry AND (in_main OR x < y) AND ((nx >= ny AND iy AND ny * 100 >= nx * {j})"
+        f" OR (ny >= nx AND ix AND nx * 100 >= ny * {j}))"
     )
-    rest = one.join(two, "value").where("rx <> ry AND (in_main OR x < y)").select(
-        F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")
-    ).distinct().join(tried, ["a", "b"], "left_anti")
-    last = confirmed(materialize(estimated(rest, classes, how), "estimated"), sets, how)
-    return links.unionAll(materialize(last, "links"))
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def _repeats(classes: DataFrame) -> bool:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskmill.llm.bpe import codec, vocabulary
-from riskmill.llm.shared import documents, in_slices
+from riskmill.llm.shared import documents, in_slices, with_fields
 from riskmill.session import materialize
 
 SIZE = 1024
@@ -273,7 +273,7 @@ def place(pieces: DataFrame, how: Packing = Packing()) -> DataFrame:
         .drop("_before", "_bucket")
     )
     names = pieces.columns
-    schema = pieces.schema.add("sequence_id", "long").add("offset", "long")
+    schema = with_fields(pieces.schema, sequence_id="long", offset="long")
 
     def run(batches):
         r = shared.value

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from riskmill.session import materialize
 
@@ -21,6 +22,11 @@ def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def with_fields(schema: T.StructType, **more: str) -> T.StructType:
+    """A new schema with further fields; the given one belongs to its frame."""
+    return T.StructType([*schema.fields, *T.StructType.fromDDL(", ".join(f"{k} {v}" for k, v in more.items())).fields])
+
+
 def labelled_sample(
     docs: DataFrame, labels: DataFrame, label: str, per_class: int, allowed: Column | None = None
 ) -> DataFrame:

@@ -19,6 +19,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskmill.llm.shared import with_fields
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 # The rules that the query applies.
 RULES = (
@@ -111,7 +113,7 @@ def judge(pages: DataFrame, rules=RULES, how: Fit = Fit()) -> DataFrame:
     if weights is None:
         weights = np.append(np.zeros(how.slots), 1.0)
     shared = pages.sparkSession.sparkContext.broadcast(weights)
-    schema = parts.schema.add("score", "double")
+    schema = with_fields(parts.schema, score="double")
 
     def run(batches):
         w = shared.value
