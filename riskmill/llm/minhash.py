@@ -115,10 +115,10 @@ def shingle_sets(docs: DataFrame, how: Near = Near()) -> DataFrame:
 
 
 def listed(classes: DataFrame, how: Near) -> DataFrame:
-    """(value, id) of the rarest values of each sketch, where a value has more than one holder.
+    """(id, own, value) of the rarest values of each sketch, where a value has more than one holder.
 
     A sketch of s values must share t = min(least, percent of s) with a partner, so its s - t + 1 rarest are enough.
-    Values with one holder are the rarest of all and take their places without being moved again.
+    Values with one holder (``own`` of them) are the rarest of all and take their places without being moved again.
     """
     postings = classes.select("id", F.size("sketch").alias("s"), F.explode("sketch").alias("value"))
     held = postings.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
@@ -128,8 +128,9 @@ def listed(classes: DataFrame, how: Near) -> DataFrame:
     own = F.col("s") - F.size("values")
     needed = F.least(F.lit(how.least), F.ceil(F.col("s") * how.percent / 100))
     room = (F.col("s") - needed + 1 - own).cast("int")
-    taken = common.where(room > 0).select("id", F.explode(F.slice("values.value", 1, room)).alias("value"))
-    return taken
+    return common.where(room > 0).select(
+        "id", own.alias("own"), F.explode(F.slice("values.value", 1, room)).alias("value")
+    )
 
 
 def estimated(pairs: DataFrame, classes: DataFrame, how: Near) -> DataFrame:
@@ -196,7 +197,8 @@ def near_links(docs: DataFrame, classes: DataFrame, how: Near = Near()) -> DataF
         rooted = lists.join(root, "id")
         mixed = rooted.groupBy("value").agg(
             F.min("root").alias("low"), F.max("root").alias("high"),
-            F.min_by(F.struct("id", "root"), F.xxhash64("id", F.lit(turn)) if turn else F.col("id")).alias("centre"),
+            # Who has least to itself is closest to what the others share; ties change from round to round.
+            F.min_by(F.struct("id", "root"), F.struct("own", F.xxhash64("id", F.lit(turn)))).alias("centre"),
         ).where("low <> high").select("value", "centre")
         pairs = rooted.join(mixed, "value").where("root <> centre.root").select(
             F.least("id", "centre.id").alias("a"), F.greatest("id", "centre.id").alias("b")
@@ -253,22 +255,26 @@ def unlinked_pairs(loose: DataFrame, sets: DataFrame, how: Near) -> DataFrame:
     probe = F.col("n") - F.ceil(F.col("n") * j / 100) + 1 - own
     index = F.col("n") - F.ceil(F.col("n") * 2 * j / (100 + j)) + 1 - own
     first = common.select("id", "n", F.posexplode(F.slice("values.value", 1, F.greatest(probe, F.lit(0)).cast("int"))).alias(
-        "place", "value"), index.alias("index"))
+        "place", "value"), index.alias("index"), own.alias("own"))
     rows = materialize(
-        first.join(loose, "id").select("id", "n", "root", "value", (F.col("place") < F.col("index")).alias("indexed")),
+        first.join(loose, "id").select("id", "n", "own", "root", "value", (F.col("place") < F.col("index")).alias("indexed")),
         "prefixes",
     )
     sizes = rows.groupBy("value", "root").agg(F.count("*").alias("c"))
     main = sizes.groupBy("value").agg(F.max_by("root", "c").alias("main"), F.count("*").alias("several"))
     mixed = rows.join(main.where("several > 1").select("value", "main"), "value")
     one = mixed.where("root <> main").select(
-        "value", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"), F.col("indexed").alias("ix"))
+        "value", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"), F.col("indexed").alias("ix"),
+        F.col("own").alias("ox"))
     two = mixed.select(
         "value", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("root").alias("ry"), F.col("indexed").alias("iy"),
+        F.col("own").alias("oy"),
         (F.col("root") == F.col("main")).alias("in_main"))
     met = one.join(two, "value").where(
         f"rx <> ry AND (in_main OR x < y) AND ((nx >= ny AND iy AND ny * 100 >= nx * {j})"
         f" OR (ny >= nx AND ix AND nx * 100 >= ny * {j}))"
+        # What only one text has is in no intersection, and in every union.
+        f" AND least(nx - ox, ny - oy) * {100 - j} >= {j} * (ox + oy)"
     )
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
