@@ -122,10 +122,9 @@ def _classifier(model: str, weight_total: float, s: ModelSettings):
 
 
 def learn(rows: DataFrame, spec: FeatureSpec) -> tuple[Encoding, dict]:
-    """The encoding of training rows, their class counts and about how many differ."""
+    """The encoding of training rows and their class counts."""
     encoding, facts = Encoding.fit_with(rows, spec, {
         "n0": F.count_if(q(spec.target) == 0), "n1": F.count_if(q(spec.target) == 1),
-        "distinct": F.approx_count_distinct(F.xxhash64(*spec.features)),
     })
     if not facts["n0"] or not facts["n1"]:
         raise ValueError("training rows must hold both classes")
@@ -139,8 +138,9 @@ def fit_candidate(
     """Resample, learn the encoding from the resampled rows, fit the classifier.
 
     Only ``train`` is looked at. ``resampled`` and ``learned`` may pass in its resampled rows and
-    what was learned from the fitted rows when several candidates share them. Where a table has
-    few distinct rows, logistic regression and boosting are fitted on the collapsed rows.
+    what was learned from the fitted rows when several candidates share them. Logistic regression
+    is fitted on equal rows collapsed to weighted ones, which is the same problem; trees are not,
+    since their split candidates come from a sample of rows.
     """
     if model not in (LOGISTIC, FOREST, BOOSTING, EXTREME):
         raise ValueError(f"Unknown model: {model}")
@@ -155,8 +155,7 @@ def fit_candidate(
     encoding, facts = learned or learn(rows, spec)
     n0, n1 = facts["n0"], facts["n1"]
     weight_total = float(n0 + n0 if strategy == "scale_pos_weight" else n0 + n1)
-    collapsible = model != FOREST and 10 * facts["distinct"] <= n0 + n1
-    data = collapse_rows(rows, spec) if collapsible else rows.withColumn("copies", F.lit(1.0))
+    data = collapse_rows(rows, spec) if model == LOGISTIC else rows.withColumn("copies", F.lit(1.0))
     weight = F.col("copies") * strategy_weight(spec, strategy, n0, n1)
     encoder = encoding.transformer(train.sparkSession)
     prepared = encoder.transform(data).select(
@@ -178,6 +177,19 @@ class LinearScorer:
     categorical: dict
     binary: dict
 
+    @classmethod
+    def from_table(cls, table: DataFrame, spec: FeatureSpec) -> LinearScorer:
+        """The scorer of a stored coefficient table (a row per slot of the encoding)."""
+        rows = {r["slot"]: r for r in table.collect()}
+        labels = {c: [s.removeprefix(f"cat__{c}_") for s in rows if s.startswith(f"cat__{c}_")] for c in spec.categorical}
+        return cls(
+            rows["(intercept)"]["coefficient"],
+            {c: (rows[f"num__{c}"]["mean"], rows[f"num__{c}"]["scale"], rows[f"num__{c}"]["coefficient"])
+             for c in spec.numeric},
+            {c: {v: rows[f"cat__{c}_{v}"]["coefficient"] for v in labels[c]} for c in spec.categorical},
+            {c: rows[f"bin__{c}"]["coefficient"] for c in spec.binary},
+        )
+
     @classmethod
     def from_fitted(cls, fitted: Fitted) -> LinearScorer:
         spec, enc = fitted.encoding.spec, fitted.encoding

@@ -68,7 +68,7 @@ class _AxisParts:
         self.split: dict[int, int] = {}
         if self.cuts:
             sizes = with_range(profiles.select(column), column, self.cuts, "part").groupBy("part").count()
-            # At most MAX_RANGES rows.
+            # A row per range.
             self.split = {
                 r["part"]: -(-r["count"] // ROWS_PER_RANGE)
                 for r in sizes.filter(F.col("count") > 4 * ROWS_PER_RANGE).collect()

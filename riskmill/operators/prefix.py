@@ -12,19 +12,16 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_RANGES = 4096
 ROWS_PER_RANGE = 250_000
 
 
 def value_cuts(df: DataFrame, value: str) -> list[float]:
-    """At most MAX_RANGES - 1 cut points; none when one range is small enough."""
+    """Cut points for two or more ranges of about ROWS_PER_RANGE rows; their number has no ceiling."""
     n = df.agg(F.count(value)).first()[0]
-    ranges = min(MAX_RANGES, -(-n // ROWS_PER_RANGE))
-    if ranges <= 1:
-        return []
+    ranges = max(2, -(-n // ROWS_PER_RANGE))
     grid = ",".join(f"{i / ranges!r}D" for i in range(1, ranges))
-    cuts = df.agg(F.expr(f"percentile_approx(`{value}`, array({grid}), {4 * ranges})")).first()[0]
-    return sorted(set(cuts))
+    cuts = df.agg(F.expr(f"percentile_approx(`{value}`, array({grid}), {max(100, 4 * ranges)})")).first()[0]
+    return sorted(set(cuts or []))
 
 
 def with_range(df: DataFrame, value: str, cuts: list[float], out: str) -> DataFrame:
@@ -45,17 +42,17 @@ def running_totals(
 ) -> DataFrame:
     """One row per distinct value (and ``by`` group), from the highest value down.
 
+    Missing values and NaN have no place in the order.
+
     For every entry ``name: expression`` of ``counts`` the result has ``name`` (the sum at this
     value), ``cum_name`` (the sum at this value and above) and ``all_name`` (the group's sum).
     """
     names = list(counts)
-    data = df.filter(F.col(value).isNotNull())
+    data = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
     cuts = value_cuts(data, value)
     distinct = data.groupBy(*by, value).agg(*[F.sum(expr).alias(n) for n, expr in counts.items()])
-    if not cuts:
-        return _within_one_range(distinct, value, names, by)
     distinct = with_range(distinct, value, cuts, "value_range")
-    # At most MAX_RANGES rows per group from here to the offsets.
+    # A row per range and group from here to the offsets.
     totals = distinct.groupBy(*by, "value_range").agg(*[F.sum(n).alias(f"all_{n}") for n in names])
     group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     above = group.orderBy(F.desc("value_range")).rowsBetween(Window.unboundedPreceding, -1)
@@ -82,13 +79,3 @@ def running_totals(
         )
     )
 
-
-def _within_one_range(distinct: DataFrame, value: str, names: list[str], by: tuple[str, ...]) -> DataFrame:
-    """The same for at most ROWS_PER_RANGE rows: one window per group."""
-    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    down = group.orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return distinct.select(
-        *by, value, *names,
-        *[F.sum(n).over(down).alias(f"cum_{n}") for n in names],
-        *[F.sum(n).over(group).alias(f"all_{n}") for n in names],
-    )

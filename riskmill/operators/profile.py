@@ -11,7 +11,6 @@ from pyspark.sql import types as T
 from riskmill.functions.scalars import percent, q
 from riskmill.operators.quantiles import exact_quantiles
 
-LONG_TEXT = 64
 QUARTILES = (0.25, 0.5, 0.75)
 
 
@@ -40,11 +39,10 @@ def null_report(df: DataFrame) -> DataFrame:
 
 
 def _comparable(df: DataFrame, column: str) -> Column:
-    """The value itself, or a tagged digest where a long text would only be compared."""
+    """The value itself, or the digest of a text, which would only be compared."""
     if not isinstance(df.schema[column].dataType, T.StringType):
         return q(column).alias(column)
-    text = q(column)
-    return F.when(F.length(text) > LONG_TEXT, F.concat(F.lit("sha:"), F.sha2(text, 256))).otherwise(text).alias(column)
+    return F.sha2(q(column), 256).alias(column)
 
 
 def dup_report(df: DataFrame, key: str) -> DataFrame:
@@ -54,7 +52,7 @@ def dup_report(df: DataFrame, key: str) -> DataFrame:
         F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"),
         (F.coalesce(F.sum("n"), F.lit(0)) - F.count("*")).alias("row_duplicates"),
     )
-    keys = df.groupBy(q(key)).agg(F.count("*").alias("n")).agg(
+    keys = df.select(_comparable(df, key)).groupBy(q(key)).agg(F.count("*").alias("n")).agg(
         (F.coalesce(F.sum("n"), F.lit(0)) - F.count("*")).alias("k")
     )
     return full.withColumn("key_duplicates", keys.scalar())
@@ -129,6 +127,11 @@ def describe_mixed(df: DataFrame, exact: bool = True) -> DataFrame:
             value_counts(df, other).filter("value is not null").groupBy("column")
             .agg(F.sum("n").alias("count"), F.count("*").alias("n_unique"), top.alias("best"))
         )
+        # A column without any value has a row too.
+        every = df.sparkSession.createDataFrame([(c,) for c in other], "column string")
+        summary = every.join(summary, "column", "left").withColumns({
+            "count": F.coalesce("count", F.lit(0)), "n_unique": F.coalesce("n_unique", F.lit(0)),
+        })
         parts.append(summary.select(
             "column", "count", "n_unique", F.col("best.value").alias("top"), (-F.col("best.neg")).alias("freq"),
             *[F.lit(None).cast("double").alias(n) for n in ("mean", "std", "min", "q25", "q50", "q75", "max")],

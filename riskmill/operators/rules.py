@@ -113,7 +113,10 @@ def value_equals_counts(df: DataFrame, pairs) -> DataFrame:
 
 def numeric_extremes(df: DataFrame, columns) -> DataFrame:
     counted = df.agg(*[
-        F.struct(F.min(q(c).cast("double")).alias("lo"), F.max(q(c).cast("double")).alias("hi")).alias(f"s{i}")
+        F.struct(
+            F.min(F.nanvl(q(c).cast("double"), F.lit(None))).alias("lo"),
+            F.max(F.nanvl(q(c).cast("double"), F.lit(None))).alias("hi"),
+        ).alias(f"s{i}")
         for i, c in enumerate(columns)
     ])
     return counted.select(F.inline(F.array(*[

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskmill.functions.hashing import order_key
-from riskmill.functions.scalars import add_all, one_row, percent, q
+from riskmill.functions.scalars import add_all, one_row, percent, q, safe_div
 
 PREFIX_STEP = 3
 LIST_BELOW = 5_000
@@ -207,7 +207,7 @@ def majority_baseline(df: DataFrame, target: str) -> DataFrame:
     majority = F.when(F.col("n1") > F.col("n0"), 1).otherwise(0)
     return counted.select(
         majority.alias("majority_class"),
-        (F.greatest("n0", "n1") / (F.col("n0") + F.col("n1"))).alias("accuracy"),
+        safe_div(F.greatest("n0", "n1").cast("double"), F.col("n0") + F.col("n1")).alias("accuracy"),
         F.when(F.col("n1") > F.col("n0"), 1.0).otherwise(0.0).alias("recall"),
         percent(F.greatest("n0", "n1"), F.col("n0") + F.col("n1")).alias("accuracy_pct"),
     )

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskmill.functions.hashing import keyed_digest, uniform_draw
+from riskmill.functions.scalars import nan_to_null
 from riskmill.spec import FeatureSpec
 
 SEED = 42
@@ -40,7 +41,7 @@ ORDER_SPEC = FeatureSpec(
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return nan_to_null(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def risk_events(spark: SparkSession, sf_dir: str) -> DataFrame:

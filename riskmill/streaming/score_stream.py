@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,13 +22,15 @@ def start_scoring(
 ) -> StreamingQuery:
     """Scores the ``body`` of every record of a stream.
 
-    A micro-batch is one write, partitioned into good and rejected rows, to a folder named by its
-    batch id. A batch repeated after a failure replaces its own folder, so no row is written twice.
+    A micro-batch is one write, partitioned into good and rejected rows, to a folder named by the
+    checkpoint and its batch id. A batch repeated after a failure replaces its own folder, so no row is
+    written twice; a stream that starts anew with another checkpoint leaves earlier output alone.
     """
+    stream = hashlib.sha256(checkpoint_dir.rstrip("/").encode()).hexdigest()[:16]
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         scored = score_table(validate_records(batch, spec), spec, scorer, settings)
-        scored.write.mode("overwrite").partitionBy("valid").parquet(f"{out_dir}/batch={batch_id}")
+        scored.write.mode("overwrite").partitionBy("valid").parquet(f"{out_dir}/stream={stream}/batch={batch_id}")
 
     return (
         records.writeStream.foreachBatch(write_batch)
@@ -38,5 +42,5 @@ def start_scoring(
 
 def scored_records(spark: SparkSession, out_dir: str) -> DataFrame:
     """Everything written so far; filter on ``valid`` to read one side only."""
-    found = spark.read.parquet(out_dir).drop("batch")
+    found = spark.read.parquet(out_dir).drop("batch", "stream")
     return found.withColumn("valid", F.col("valid").cast("boolean"))

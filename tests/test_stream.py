@@ -26,4 +26,9 @@ def test_stream_equals_batch_over_several_runs(spark, sf_dir):
     want = score_table(validate_records(lines, RISK_SPEC), RISK_SPEC, CHOSEN).select(columns)
     assert got.count() == want.count() == 1000
     assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    # A stream that starts anew with another checkpoint reads everything again and leaves the earlier output.
+    start_scoring(
+        tables.json_lines(spark, source, stream=True), out, new_folder(spark, "state"), RISK_SPEC, CHOSEN
+    ).awaitTermination()
+    assert scored_records(spark, out).count() == 2000
     assert not scored_records(spark, out).filter("not valid").isEmpty()
