@@ -231,8 +231,9 @@ def unlinked_pairs(loose: DataFrame, sets: DataFrame, how: Near) -> DataFrame:
     """Every pair of (id, root) rows with different roots that can be similar enough, by prefixes of the full sets.
 
     With shingles ordered from rare to frequent, two similar sets share one among the first ``1 - j`` of the larger
-    set and the first ``1 - 2j / (1 + j)`` of the smaller one. What each text has for itself fills these prefixes, so
-    texts that are alike only below the threshold do not meet. This is exact.
+    set and the first ``1 - 2j / (1 + j)`` of the smaller one. What each text has for itself fills these prefixes. At
+    the first shingle they share, what is left of either set must suffice for the whole intersection (positional
+    filter), so texts that are alike only below the threshold do not meet. Both filters are exact.
     """
     schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("value", pa.int64())])
 
@@ -257,7 +258,8 @@ def unlinked_pairs(loose: DataFrame, sets: DataFrame, how: Near) -> DataFrame:
     first = common.select("id", "n", F.posexplode(F.slice("values.value", 1, F.greatest(probe, F.lit(0)).cast("int"))).alias(
         "place", "value"), index.alias("index"), own.alias("own"))
     rows = materialize(
-        first.join(loose, "id").select("id", "n", "own", "root", "value", (F.col("place") < F.col("index")).alias("indexed")),
+        first.join(loose, "id").select("id", "n", "root", "value", (F.col("place") < F.col("index")).alias("indexed"),
+                                       (F.col("n") - F.col("own") - F.col("place")).alias("left")),
         "prefixes",
     )
     sizes = rows.groupBy("value", "root").agg(F.count("*").alias("c"))
@@ -265,16 +267,15 @@ def unlinked_pairs(loose: DataFrame, sets: DataFrame, how: Near) -> DataFrame:
     mixed = rows.join(main.where("several > 1").select("value", "main"), "value")
     one = mixed.where("root <> main").select(
         "value", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"), F.col("indexed").alias("ix"),
-        F.col("own").alias("ox"))
+        F.col("left").alias("lx"))
     two = mixed.select(
         "value", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("root").alias("ry"), F.col("indexed").alias("iy"),
-        F.col("own").alias("oy"),
-        (F.col("root") == F.col("main")).alias("in_main"))
+        F.col("left").alias("ly"), (F.col("root") == F.col("main")).alias("in_main"))
     met = one.join(two, "value").where(
         f"rx <> ry AND (in_main OR x < y) AND ((nx >= ny AND iy AND ny * 100 >= nx * {j})"
         f" OR (ny >= nx AND ix AND nx * 100 >= ny * {j}))"
-        # What only one text has is in no intersection, and in every union.
-        f" AND least(nx - ox, ny - oy) * {100 - j} >= {j} * (ox + oy)"
+        # At the first shingle that two sets share, all they share is still to come in both.
+        f" AND least(lx, ly) * {100 + j} >= {j} * (nx + ny)"
     )
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
