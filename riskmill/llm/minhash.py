@@ -34,6 +34,8 @@ from pyspark.sql import functions as F
 from riskmill.llm.shared import WordCache, components, documents, in_slices
 from riskmill.session import materialize
 
+#: 64-bit words of a set's bit map; long sets fill it, and then it filters less.
+BIT_WORDS = 16
 SKETCHES = "doc_id long, n_shingles long, set_key binary, sketch array<long>"
 
 
@@ -233,7 +235,8 @@ def unlinked_pairs(loose: DataFrame, sets: DataFrame, how: Near) -> DataFrame:
     With shingles ordered from rare to frequent, two similar sets share one among the first ``1 - j`` of the larger
     set and the first ``1 - 2j / (1 + j)`` of the smaller one. What each text has for itself fills these prefixes. At
     the first shingle they share, what is left of either set must suffice for the whole intersection (positional
-    filter), so texts that are alike only below the threshold do not meet. Both filters are exact.
+    filter), and so must what bit maps of the sets allow (bitmap filter). So texts that are alike only below the
+    threshold hardly meet. All these filters are exact: none loses a link.
     """
     schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("value", pa.int64())])
 
@@ -246,7 +249,18 @@ def unlinked_pairs(loose: DataFrame, sets: DataFrame, how: Near) -> DataFrame:
                     [pa.array(doc), pa.array(np.full(len(values), len(values))), pa.array(values)], schema=schema
                 )
 
+    def map_bits(batches):
+        for batch in batches:
+            maps = np.zeros((batch.num_rows, BIT_WORDS), np.uint64)
+            for i, held in enumerate(batch.column("shingles")):
+                spots = np.frombuffer(held.as_buffer(), np.uint64) % np.uint64(64 * BIT_WORDS)
+                np.bitwise_or.at(maps[i], spots >> np.uint64(6), np.uint64(1) << (spots & np.uint64(63)))
+            columns = [pa.array(_signed(np.ascontiguousarray(maps[:, k]))) for k in range(BIT_WORDS)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *columns], names=["id", *bits])
+
+    bits = [f"b{k}" for k in range(BIT_WORDS)]
     whole = sets.select(F.col("doc_id").alias("id"), "shingles").join(loose.select("id"), "id", "left_semi")
+    loose = loose.join(whole.mapInArrow(map_bits, ", ".join(["id long", *(f"{b} long" for b in bits)])), "id")
     postings = materialize(whole.mapInArrow(run, "id long, n long, value long"), "postings")
     held = postings.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
     common = postings.join(held, "value").groupBy("id").agg(
@@ -259,7 +273,7 @@ def unlinked_pairs(loose: DataFrame, sets: DataFrame, how: Near) -> DataFrame:
         "place", "value"), index.alias("index"), own.alias("own"))
     rows = materialize(
         first.join(loose, "id").select("id", "n", "root", "value", (F.col("place") < F.col("index")).alias("indexed"),
-                                       (F.col("n") - F.col("own") - F.col("place")).alias("left")),
+                                       (F.col("n") - F.col("own") - F.col("place")).alias("left"), *bits),
         "prefixes",
     )
     sizes = rows.groupBy("value", "root").agg(F.count("*").alias("c"))
@@ -267,15 +281,20 @@ def unlinked_pairs(loose: DataFrame, sets: DataFrame, how: Near) -> DataFrame:
     mixed = rows.join(main.where("several > 1").select("value", "main"), "value")
     one = mixed.where("root <> main").select(
         "value", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"), F.col("indexed").alias("ix"),
-        F.col("left").alias("lx"))
+        F.col("left").alias("lx"), *[F.col(b).alias(f"x{b}") for b in bits])
     two = mixed.select(
         "value", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("root").alias("ry"), F.col("indexed").alias("iy"),
-        F.col("left").alias("ly"), (F.col("root") == F.col("main")).alias("in_main"))
+        F.col("left").alias("ly"), (F.col("root") == F.col("main")).alias("in_main"),
+        *[F.col(b).alias(f"y{b}") for b in bits])
+    only_x = " + ".join(f"bit_count(x{b} & ~y{b})" for b in bits)
+    only_y = " + ".join(f"bit_count(y{b} & ~x{b})" for b in bits)
     met = one.join(two, "value").where(
         f"rx <> ry AND (in_main OR x < y) AND ((nx >= ny AND iy AND ny * 100 >= nx * {j})"
         f" OR (ny >= nx AND ix AND nx * 100 >= ny * {j}))"
         # At the first shingle that two sets share, all they share is still to come in both.
         f" AND least(lx, ly) * {100 + j} >= {j} * (nx + ny)"
+        # A bit that one map alone has stands for at least one shingle that the other set lacks.
+        f" AND least(nx - ({only_x}), ny - ({only_y})) * {100 + j} >= {j} * (nx + ny)"
     )
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
