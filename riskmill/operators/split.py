@@ -18,8 +18,8 @@ from riskmill.functions.scalars import add_all, one_row, percent, q, safe_div
 
 PREFIX_STEP = 3
 LIST_BELOW = 5_000
+#: Classes a target may have, and prefixes searched in one scan: bounds what a scan hands to the driver.
 MAX_CLASSES = 100
-MAX_COUNTS = MAX_CLASSES * 16**PREFIX_STEP
 
 
 @dataclass(frozen=True)
@@ -47,15 +47,48 @@ def _prefix_counts(keyed: DataFrame, length: int) -> dict:
     """Rows per class and digest prefix; at most 16**PREFIX_STEP prefixes per searched one."""
     out: dict = {}
     grouped = keyed.groupBy("label", F.substring("rank_key", 1, length).alias("prefix")).agg(F.count("*").alias("n"))
-    for row in grouped.limit(MAX_COUNTS + 1).collect():
+    for row in grouped.limit(MAX_CLASSES * 16**PREFIX_STEP + 1).collect():
         out.setdefault(row["label"], {})[row["prefix"]] = row["n"]
-    if len(out) > MAX_CLASSES or sum(map(len, out.values())) > MAX_COUNTS:
+    if len(out) > MAX_CLASSES:
         raise ValueError(f"the target has more than {MAX_CLASSES} classes")
     return out
 
 
+def _advance(open_cuts: dict, batch: list, counts: dict) -> dict:
+    """Moves each cut of ``batch`` into the longer prefix that holds its rank; returns the rows in there."""
+    sizes = {}
+    for cut in batch:
+        prefix, rank = open_cuts[cut]
+        for child in sorted(c for c in counts[cut[0]] if c.startswith(prefix)):
+            n = counts[cut[0]][child]
+            if rank <= n:
+                break
+            rank -= n
+        open_cuts[cut] = (child, rank)
+        sizes[cut] = n
+    return sizes
+
+
+def _searched(keyed: DataFrame, open_cuts: dict, length: int):
+    """(cuts, rows that share their prefixes), for at most MAX_CLASSES prefixes at a time."""
+    by_prefix: dict = {}
+    for cut, (prefix, _) in open_cuts.items():
+        by_prefix.setdefault((cut[0], prefix), []).append(cut)
+    places = list(by_prefix)
+    for start in range(0, len(places), MAX_CLASSES):
+        some = places[start : start + MAX_CLASSES]
+        here = F.lit(False)
+        for label in dict.fromkeys(p[0] for p in some):
+            prefixes = [p[1] for p in some if p[0] == label]
+            here = here | ((F.col("label") == F.lit(label)) & F.substring("rank_key", 1, length).isin(prefixes))
+        yield [cut for place in some for cut in by_prefix[place]], keyed.filter(here)
+
+
 def fit_cuts(df: DataFrame, target: str, key: str, ranks_for, seed: int, salt: str) -> SplitPlan:
-    """Finds the keys at the 1-based ranks ``ranks_for(class_counts)[label]`` of each class."""
+    """Finds the keys at the 1-based ranks ``ranks_for(class_counts)[label]`` of each class.
+
+    The number of cuts is not limited: beyond MAX_CLASSES searched prefixes a round takes several scans.
+    """
     keyed = df.filter(q(target).isNotNull()).select(
         q(target).alias("label"), order_key(seed, salt, q(key)).alias("rank_key")
     )
@@ -63,44 +96,29 @@ def fit_cuts(df: DataFrame, target: str, key: str, ranks_for, seed: int, salt: s
     counts = _prefix_counts(keyed, length)
     totals = {label: sum(c.values()) for label, c in sorted(counts.items())}
     wanted = ranks_for(totals)
+    ranked = {(label, i): rank for label, ranks in wanted.items() for i, rank in enumerate(ranks)}
+    found: dict = {cut: "" for cut, rank in ranked.items() if rank <= 0}
     # (label, position of the cut) -> (prefix, rank inside the prefix)
-    open_cuts = {(label, i): ("", rank) for label, ranks in wanted.items() for i, rank in enumerate(ranks)}
-    found: dict = {}
-    for (label, i), (_, rank) in list(open_cuts.items()):
-        if rank <= 0:
-            found[label, i] = ""
-            del open_cuts[label, i]
-    while open_cuts:
-        sizes = {}
-        for cut, (prefix, rank) in open_cuts.items():
-            label = cut[0]
-            for child in sorted(c for c in counts[label] if c.startswith(prefix)):
-                n = counts[label][child]
+    open_cuts = {cut: ("", rank) for cut, rank in ranked.items() if rank > 0}
+    sizes = _advance(open_cuts, list(open_cuts), counts)
+    while length < 32 and max(sizes.values(), default=0) > LIST_BELOW:
+        sizes, longer = {}, length + PREFIX_STEP
+        for batch, near in list(_searched(keyed, open_cuts, length)):
+            sizes |= _advance(open_cuts, batch, _prefix_counts(near, longer))
+        length = longer
+    for batch, near in _searched(keyed, open_cuts, length):
+        listed: dict = {}
+        for row in near.groupBy("label", "rank_key").agg(F.count("*").alias("n")).collect():
+            listed.setdefault(row["label"], []).append((row["rank_key"], row["n"]))
+        for cut in batch:
+            prefix, rank = open_cuts[cut]
+            for rank_key, n in sorted(k for k in listed[cut[0]] if k[0].startswith(prefix)):
                 if rank <= n:
                     break
                 rank -= n
-            open_cuts[cut] = (child, rank)
-            sizes[cut] = n
-        here = F.lit(False)
-        for label in {c[0] for c in open_cuts}:
-            prefixes = sorted({p for c, (p, _) in open_cuts.items() if c[0] == label})
-            here = here | ((F.col("label") == F.lit(label)) & F.substring("rank_key", 1, length).isin(prefixes))
-        near = keyed.filter(here)
-        if max(sizes.values()) <= LIST_BELOW or length >= 32:
-            listed: dict = {}
-            for row in near.groupBy("label", "rank_key").agg(F.count("*").alias("n")).collect():
-                listed.setdefault(row["label"], []).append((row["rank_key"], row["n"]))
-            for cut, (prefix, rank) in open_cuts.items():
-                for rank_key, n in sorted(k for k in listed[cut[0]] if k[0].startswith(prefix)):
-                    if rank <= n:
-                        break
-                    rank -= n
-                if rank != n:
-                    raise ValueError(f"{key} is not unique: {rank_key.split('|', 1)[1]} appears {n} times")
-                found[cut] = rank_key
-            break
-        length += PREFIX_STEP
-        counts = _prefix_counts(near, length)
+            if rank != n:
+                raise ValueError(f"{key} is not unique: {rank_key.split('|', 1)[1]} appears {n} times")
+            found[cut] = rank_key
     cuts = {label: tuple(found[label, i] for i in range(len(r))) for label, r in wanted.items()}
     return SplitPlan(target, key, seed, salt, cuts)
 

@@ -39,6 +39,25 @@ def test_many_rounds_find_the_same_cuts(spark, monkeypatch):
     assert split.fit_kfold(df, "y", "k").cuts == want.cuts
 
 
+@pytest.mark.parametrize(("classes", "folds"), [(26, 5), (2, 60)])
+def test_many_cuts_are_searched_in_several_scans(spark, monkeypatch, classes, folds):
+    df = spark.range(5200).select(F.col("id").alias("k"), (F.col("id") % classes).cast("int").alias("y"))
+    want = split.fit_kfold(df, "y", "k", folds)
+    monkeypatch.setattr(split, "PREFIX_STEP", 1)
+    monkeypatch.setattr(split, "LIST_BELOW", 2)
+    monkeypatch.setattr(split, "MAX_CLASSES", 30)
+    assert split.fit_kfold(df, "y", "k", folds).cuts == want.cuts
+    sizes = want.apply(df, "fold").groupBy("y", "fold").count()
+    spread = sizes.groupBy("y").agg(F.max("count").alias("high"), F.min("count").alias("low"), F.count("*").alias("n"))
+    assert spread.where(f"high - low > 1 OR n <> {folds}").isEmpty()
+
+
+def test_too_many_classes_are_refused(spark):
+    df = spark.range(300).select(F.col("id").alias("k"), (F.col("id") % 101).cast("int").alias("y"))
+    with pytest.raises(ValueError, match="more than 100 classes"):
+        split.fit_kfold(df, "y", "k", 2)
+
+
 def test_split_applies_without_a_shuffle(spark):
     df = split.stratified_split(table(spark, 500, 50), "y", "k")
     assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
