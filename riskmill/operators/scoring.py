@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from riskmill.functions.scalars import band, clamp, class_label, decide, q
 from riskmill.operators.models import LinearScorer, score_with
@@ -32,16 +33,18 @@ def score_table(
 ) -> DataFrame:
     """Scores rows with an ``errors`` column; rejected rows stay, without outputs.
 
-    A linear model is one expression of the same projection. Any other model sees the good rows
-    only.
+    Either way the records are read and checked once. A linear model is one expression of the same projection.
+    Any other model sees rejected rows too, with plain values in place of their features; what it says of them
+    is not shown.
     """
     carried = [c for c in checked.columns if c not in (*spec.features, "errors")]
     if isinstance(scorer, LinearScorer):
         return checked.select(*[q(c) for c in carried], *_outputs(scorer.probability(), settings))
-    good = score_with(scorer, checked.filter(F.size("errors") == 0))
-    rest = checked.filter(F.size("errors") > 0).withColumn("score", F.lit(None).cast("double"))
-    both = good.unionByName(rest)
-    return both.select(*[q(c) for c in carried], *_outputs(F.col("score"), settings))
+    good = F.size("errors") == 0
+    types = {c: checked.schema[c].dataType for c in spec.features}
+    plain = {c: F.lit("" if isinstance(t, T.StringType) else 0).cast(t) for c, t in types.items()}
+    filled = checked.withColumns({c: F.when(good, q(c)).otherwise(plain[c]) for c in spec.features})
+    return score_with(scorer, filled).select(*[q(c) for c in carried], *_outputs(F.col("score"), settings))
 
 
 def responses(scored: DataFrame, settings: ScoringSettings = ScoringSettings()) -> DataFrame:

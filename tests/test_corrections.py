@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 
 from riskmill.operators import metrics, profile, rules, split
 from riskmill.operators.models import BOOSTING, LOGISTIC, LinearScorer, ModelSettings, fit_candidate
-from riskmill.plans.fixtures import RISK_SPEC, risk_events
+from riskmill.operators.scoring import score_table
+from riskmill.operators.validate import validate_records
+from riskmill.plans.fixtures import RISK_SPEC, record_lines, risk_events
 from riskmill.session import new_folder
 from riskmill.sources import store
 
@@ -61,3 +63,18 @@ def test_a_reloaded_linear_model_scores_as_an_expression(spark, sf_dir):
     scorer = LinearScorer.from_table(store.load_coefficients(spark, path), store.load_bundle(spark, path).spec)
     both = fitted.score(rows).withColumn("own", scorer.probability())
     assert both.agg(F.max(F.abs(F.col("own") - F.col("score")))).first()[0] == pytest.approx(0, abs=1e-9)
+
+
+def test_any_model_scores_checked_records_in_one_scan(spark, sf_dir):
+    fitted = fit_candidate(risk_events(spark, sf_dir), RISK_SPEC, LOGISTIC, "class_weight")
+    checked = validate_records(record_lines(spark, sf_dir), RISK_SPEC)
+    by_stages = score_table(checked, RISK_SPEC, fitted.stages)
+    by_expression = score_table(checked, RISK_SPEC, LinearScorer.from_fitted(fitted))
+    plan = by_stages._jdf.queryExecution().optimizedPlan().collectLeaves().size()
+    assert plan == checked._jdf.queryExecution().optimizedPlan().collectLeaves().size()
+    assert not by_stages.where("NOT valid").isEmpty() and by_stages.where("NOT valid AND risk_score IS NOT NULL").isEmpty()
+    columns = ["row_id", "valid", "errors", "prediction", "risk_category", "risk_score"]
+    one, two = (df.select(columns).orderBy("row_id").toPandas() for df in (by_stages, by_expression))
+    assert one.drop(columns=["risk_score", "errors"]).equals(two.drop(columns=["risk_score", "errors"]))
+    assert (one["risk_score"] - two["risk_score"]).abs().max() < 1e-3
+    assert list(map(list, one["errors"])) == list(map(list, two["errors"]))
