@@ -277,7 +277,7 @@ def unlinked_pairs(loose: DataFrame, sets: DataFrame, how: Near) -> DataFrame:
         "prefixes",
     )
     sizes = rows.groupBy("value", "root").agg(F.count("*").alias("c"))
-    main = sizes.groupBy("value").agg(F.max_by("root", "c").alias("main"), F.count("*").alias("several"))
+    main = main_roots(sizes)
     mixed = rows.join(main.where("several > 1").select("value", "main"), "value")
     one = mixed.where("root <> main").select(
         "value", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"), F.col("indexed").alias("ix"),
@@ -299,6 +299,16 @@ def unlinked_pairs(loose: DataFrame, sets: DataFrame, how: Near) -> DataFrame:
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
+def main_roots(sizes: DataFrame) -> DataFrame:
+    """(value, main, several): the root with most rows of each value, of equal ones the larger, and how many there are.
+
+    The choice is total, because it is made again for either side of a join and both have to name the same root.
+    """
+    return sizes.groupBy("value").agg(
+        F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("several")
+    )
+
+
 def _repeats(classes: DataFrame) -> bool:
     """Whether an identifier stands for two different sets (rows that repeat an identifier)."""
     return not classes.groupBy("id").count().where("count > 1").isEmpty()

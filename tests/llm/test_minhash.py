@@ -100,3 +100,12 @@ def test_components(spark, edges):
                 todo.append(o)
         assert got[node] == min(seen)
     assert set(got) == set(near)
+
+
+def test_main_root_of_a_tie_in_any_order(spark):
+    """Both sides of the last join choose it anew, so rows in another order must not change it."""
+    sizes = [(v, root, c) for v in range(20) for root, c in ((3, 1), (7, 1), (5, 1))] + [(20, 9, 1), (20, 2, 4)]
+    wanted = {(v, 7, 3) for v in range(20)} | {(20, 2, 2)}
+    for rows in (sizes, sizes[::-1], sorted(sizes, key=lambda r: r[1])):
+        one = spark.createDataFrame(rows, "value long, root long, c long").coalesce(1)
+        assert {tuple(r) for r in minhash.main_roots(one).collect()} == wanted
