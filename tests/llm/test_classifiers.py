@@ -46,6 +46,20 @@ def test_toxicity_on_rows_the_fit_has_not_seen(spark):
     assert toxicity.score(docs.limit(0), model).count() == 0
 
 
+def test_toxicity_of_every_language_with_few_labels(spark):
+    """Few labels, and languages that few of them are in, must not leave a text without any feature."""
+    docs, labels = tables(spark)
+    rest = labels.where("doc_id % 2 = 1").join(docs.select("doc_id", "lang"), "doc_id")
+    for per_class, langs in ((50, ("en",)), (200, ("de", "en", "es", "fr"))):
+        model = toxicity.fit(docs, labels.where("doc_id % 2 = 0"), toxicity.Fit(per_class=per_class))
+        rows = toxicity.score(docs, model).withColumnRenamed("toxic", "found").join(rest, "doc_id").collect()
+        for lang in langs:
+            bad = [r.found for r in rows if r.toxic == 1 and r.lang == lang]
+            assert sum(bad) >= 0.5 * len(bad) > 0
+        good = [r.found for r in rows if r.toxic == 0]
+        assert sum(good) <= 0.05 * len(good)
+
+
 def test_toxicity_without_labels(spark):
     docs, labels = tables(spark)
     model = toxicity.fit(docs, labels.limit(0))
