@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from riskmill.functions.scalars import band, class_label, q
 from riskmill.operators import choose, clean, encode, metrics, profile, rules, smotenc, split, validate, weights
 from riskmill.operators.models import (
-    BOOSTING, CANDIDATES, EXTREME, FOREST, LOGISTIC, LinearScorer, ModelSettings, fit_candidate, lr_gradient,
+    BOOSTING, CANDIDATES, EXTREME, FOREST, LOGISTIC, LinearScorer, fit_candidate, lr_gradient,
     score_with,
 )
 from riskmill.operators.scoring import responses, score_table
@@ -36,9 +36,6 @@ CHOSEN = LinearScorer(
     categorical={"x_cat": {"click": -0.1, "error": 0.55, "purchase": 0.2, "signup": -0.25, "view": 0.05}},
     binary={"x_bin": 0.3},
 )
-SMALL_TREES = ModelSettings(
-    forest_trees=20, forest_depth=8, boosting_rounds=10, extreme_rounds=10, extreme_depth=4
-)
 COMBO_SPEC = FeatureSpec(
     key="doc_id", numeric=("n_chars",), categorical=("combo",), binary=("quality",), target="toxic"
 )
@@ -294,22 +291,22 @@ def _optimality(spark, sf, strategy):
     return gradient.select("slot", (F.abs("gradient") < 1e-6).alias("at_optimum"))
 
 
-def _cv(spark, sf, candidates, settings=ModelSettings()):
+def _cv(spark, sf, candidates):
     rows = crossval.split_rows(risk_events(spark, sf), RISK_SPEC)
     train = rows.filter(F.col("split") == "train").drop("split")
     folds = crossval.fold_rows(train, RISK_SPEC)
-    scores = crossval.out_of_fold_scores(folds, RISK_SPEC, candidates, settings=settings)
+    scores = crossval.out_of_fold_scores(folds, RISK_SPEC, candidates)
     return rounded(crossval.cv_results(scores), 4)
 
 
 def cv_grid(spark, sf):
-    """The three logistic candidates, five folds."""
-    return _cv(spark, sf, [c for c in CANDIDATES if c[0] == LOGISTIC])
+    """All ten candidates, five folds, with the full settings."""
+    return _cv(spark, sf, CANDIDATES)
 
 
 def cv_grid_trees(spark, sf):
-    """The seven tree candidates, five folds, with smaller models than the single fits below."""
-    return _cv(spark, sf, [c for c in CANDIDATES if c[0] != LOGISTIC], SMALL_TREES)
+    """The seven tree candidates of the same grid."""
+    return _cv(spark, sf, [c for c in CANDIDATES if c[0] != LOGISTIC])
 
 
 def oof_scores(spark, sf):
@@ -320,8 +317,7 @@ def oof_scores(spark, sf):
 
 
 def candidate_summary(spark, sf):
-    candidates = [(LOGISTIC, "baseline"), (LOGISTIC, "class_weight")]
-    return rounded(crossval.candidate_summary(risk_events(spark, sf), RISK_SPEC, candidates), 4)
+    return rounded(crossval.candidate_summary(risk_events(spark, sf), RISK_SPEC), 4)
 
 
 def final_fit_report(spark, sf):
