@@ -9,4 +9,29 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY body) AS keep_id, count(*) OVER (P
 FROM bodies
 """
 
-SQL = {"op8_exact_dedup": EXACT_DEDUP}
+FILL_IN_MIDDLE = """
+WITH texts AS (
+    SELECT doc_id, coalesce(text, '') AS body, length(coalesce(text, '')) AS n,
+           sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+    FROM documents
+), drawn AS (
+    SELECT *, CAST('0x' || substr(h, 1, 8) AS BIGINT) % (n + 1) AS c1,
+           CAST('0x' || substr(h, 9, 8) AS BIGINT) % (n + 1) AS c2,
+           CASE WHEN body = '' OR contains(body, '<P>') OR contains(body, '<S>') OR contains(body, '<M>')
+                  OR CAST('0x' || substr(h, 17, 8) AS BIGINT) % 100 >= 90 THEN 'plain'
+                WHEN CAST('0x' || substr(h, 25, 8) AS BIGINT) % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+    FROM texts
+), cut AS (
+    SELECT *, substring(body, 1, least(c1, c2)) AS prefix, substring(body, greatest(c1, c2) + 1) AS suffix,
+           substring(body, least(c1, c2) + 1, greatest(c1, c2) - least(c1, c2)) AS middle
+    FROM drawn
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN least(c1, c2) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN greatest(c1, c2) - least(c1, c2) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN body WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(body) AS restored_sha256
+FROM cut
+"""
+
+SQL = {"op8_exact_dedup": EXACT_DEDUP, "op12_fill_in_middle": FILL_IN_MIDDLE}
