@@ -63,3 +63,10 @@ def materialize(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -
         writer = rebalanced.write.partitionBy(*partition_by)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder that ``new_folder`` named and that no frame still reads."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
