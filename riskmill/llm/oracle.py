@@ -34,4 +34,23 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN least(c1, c2) END AS pref
 FROM cut
 """
 
-SQL = {"op8_exact_dedup": EXACT_DEDUP, "op12_fill_in_middle": FILL_IN_MIDDLE}
+LINE_DEDUP = """
+WITH split AS (
+    SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents
+), lines AS (
+    SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS place FROM split
+), keyed AS (
+    SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+    FROM lines
+), common AS (
+    SELECT key, max(doc_id) AS last FROM keyed WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5
+), marked AS (
+    SELECT doc_id, place, line, coalesce(doc_id <> last, FALSE) AS gone FROM keyed LEFT JOIN common USING (key)
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
+SQL = {"op8_exact_dedup": EXACT_DEDUP, "op12_fill_in_middle": FILL_IN_MIDDLE, "op13_line_dedup": LINE_DEDUP}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from riskmill.llm import (
-    bpe, exact_dedup, fim, itq, licenses, minhash, oracle, packing, quality, toxicity, url_filter, warc,
+    bpe, exact_dedup, fim, itq, licenses, line_dedup, minhash, oracle, packing, quality, toxicity, url_filter, warc,
 )
 from riskmill.llm.shared import table
 
@@ -63,6 +63,10 @@ def op12_fill_in_middle(spark, sf_dir):
     return fim.digests(table(spark, sf_dir, "documents"))
 
 
+def op13_line_dedup(spark, sf_dir):
+    return line_dedup.digests(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -74,7 +78,8 @@ def llm_queries():
 
     own = (
         op1_url_filter, op2_bpe, op3_quality, op4_license_scan, op5_warc, op6_toxicity, op7_minhash, op8_exact_dedup,
-        op9_best_fit_packing, op10_embedding_near_dedup, op12_fill_in_middle, pipeline,
+        op9_best_fit_packing, op10_embedding_near_dedup, op12_fill_in_middle, op13_line_dedup,
+        pipeline,
     )
     return {q.__name__: q for q in own}
 
