@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from riskmill.llm import (
     bpe, exact_dedup, fim, itq, licenses, line_dedup, minhash, oracle, packing, quality, toxicity, url_filter, warc,
+    whitening,
 )
 from riskmill.llm.shared import table
 
@@ -59,6 +60,10 @@ def op10_embedding_near_dedup(spark, sf_dir):
     return itq.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op11_embedding_whitening(spark, sf_dir):
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
 def op12_fill_in_middle(spark, sf_dir):
     return fim.digests(table(spark, sf_dir, "documents"))
 
@@ -78,8 +83,8 @@ def llm_queries():
 
     own = (
         op1_url_filter, op2_bpe, op3_quality, op4_license_scan, op5_warc, op6_toxicity, op7_minhash, op8_exact_dedup,
-        op9_best_fit_packing, op10_embedding_near_dedup, op12_fill_in_middle, op13_line_dedup,
-        pipeline,
+        op9_best_fit_packing, op10_embedding_near_dedup, op11_embedding_whitening, op12_fill_in_middle,
+        op13_line_dedup, pipeline,
     )
     return {q.__name__: q for q in own}
 
