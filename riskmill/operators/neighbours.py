@@ -2,13 +2,17 @@
 
 The squared distance of two rows is the sum of squared numeric differences plus a fixed cost per
 differing nominal column. Equal rows are collapsed to one profile first. The search then runs in
-two steps, each over profiles that share all but ``d`` nominal columns, for d = 0, 1, ...:
-
-1. *Bound.* Rows next to each other in numeric order give every profile a distance that is
-   certainly not exceeded by its k-th neighbour. A profile is done as soon as ``d`` mismatches
-   alone cost more than its bound.
-2. *Fetch.* All profiles within the bound are fetched by an equi-join on the shared nominal
-   values and on grid cells as wide as the bound, and ranked.
+two steps, each over profiles with at most ``d`` differing nominal columns, for d = 0, 1, ...: of
+d + 1 blocks of nominal columns such profiles agree in one at least, so a profile has a copy per
+block.
+
+1. *Bound.* Rows next to each other on a space-filling curve through the numeric columns give every
+   profile a distance that is certainly not exceeded by its k-th neighbour. Three shifted curves keep
+   it within a constant of the true distance, so it shrinks as the rows get denser. A profile is done
+   as soon as ``d`` mismatches alone cost more than its bound.
+2. *Fetch.* All profiles within the bound are fetched by an equi-join on the block's values and on
+   grid cells as wide as the bound, and ranked. Cells that hold very many profiles are dealt to
+   several tasks.
 
 Both steps are exact whatever the data looks like: the bound only has to be an upper one.
 """
@@ -16,16 +20,18 @@ Both steps are exact whatever the data looks like: the bound only has to be an u
 from __future__ import annotations
 
 from functools import reduce
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskmill.functions.scalars import add_all, q
+from riskmill.operators.morton import morton_code, ranges
 from riskmill.operators.prefix import ROWS_PER_RANGE, value_cuts, with_range
 from riskmill.session import materialize
 
 GRID_COLUMNS = 3
+CELL_ROWS = 10_000
+SHIFTS = (0.0, 1 / 3, 2 / 3)
 NO_LEVEL = -9999
 
 
@@ -55,19 +61,20 @@ def build_profiles(rows: DataFrame, key: str, numeric, nominal, keep: int) -> Da
     )
 
 
-class _AxisParts:
-    """Cuts profiles into parts of bounded size along one numeric column.
+class _Curve:
+    """One curve through the numeric columns, cut into parts of bounded size.
 
-    A range that a single repeated value makes too large is divided further by profile id; a part
+    A range that a single repeated code makes too large is divided further by profile id; a part
     only has to hold enough rows for a bound.
     """
 
-    def __init__(self, profiles: DataFrame, column: str):
-        self.column = column
-        self.cuts = value_cuts(profiles, column)
+    def __init__(self, profiles: DataFrame, columns, spans, shift: float):
+        self.code = morton_code(columns, spans, shift)
+        codes = profiles.select(self.code[0].cast("double").alias("code"))
+        self.cuts = value_cuts(codes, "code")
         self.split: dict[int, int] = {}
         if self.cuts:
-            sizes = with_range(profiles.select(column), column, self.cuts, "part").groupBy("part").count()
+            sizes = with_range(codes, "code", self.cuts, "part").groupBy("part").count()
             # A row per range.
             self.split = {
                 r["part"]: -(-r["count"] // ROWS_PER_RANGE)
@@ -75,7 +82,8 @@ class _AxisParts:
             }
 
     def add(self, data: DataFrame) -> DataFrame:
-        ranged = with_range(data, self.column, self.cuts, "range_id")
+        coded = data.withColumns({"code": self.code[0].cast("double"), "high": self.code[0], "low": self.code[1]})
+        ranged = with_range(coded, "code", self.cuts, "range_id").drop("code")
         sub = F.lit(0)
         for part, n in self.split.items():
             sub = F.when(F.col("range_id") == part, F.pmod(F.xxhash64("pid"), F.lit(n)).cast("int")).otherwise(sub)
@@ -96,15 +104,29 @@ class _Search:
             (~left(i).eqNullSafe(right(i))).cast("int") for i in range(self.m, self.m + self.c)
         ])
 
+    def blocks(self, d: int) -> list[list[int]]:
+        """d + 1 blocks of nominal columns; with ``d`` mismatches at least one block agrees."""
+        if d >= self.c:
+            return [[]]
+        cuts = [self.m + self.c * j // (d + 1) for j in range(d + 2)]
+        return [list(range(a, b)) for a, b in zip(cuts, cuts[1:], strict=False)]
+
     def shared_groups(self, d: int) -> Column:
-        """One text per choice of the c - d nominal columns that have to agree."""
+        """One text per block, of the values that have to agree."""
         groups = []
-        for n, kept in enumerate(combinations(range(self.m, self.m + self.c), self.c - d)):
+        for n, kept in enumerate(self.blocks(d)):
             parts = [F.coalesce(F.col(f"v{i}").cast("string"), F.lit("\u0002")) for i in kept]
             groups.append(F.concat_ws("\u0001", F.lit(str(n)), *parts))
         return F.array(*groups)
 
-    def tighten(self, bounds: DataFrame, d: int, axes) -> DataFrame:
+    def first_agreeing(self, left, right, d: int) -> Column:
+        """The first block in which two profiles agree: there, and only there, they are paired."""
+        first = F.lit(-1)
+        for n, kept in reversed(list(enumerate(self.blocks(d)))):
+            first = F.when(reduce(lambda a, i: a & left(i).eqNullSafe(right(i)), kept, F.lit(True)), n).otherwise(first)
+        return first
+
+    def tighten(self, bounds: DataFrame, d: int, curves) -> DataFrame:
         """Lowers ``bound`` by the distances to the rows next in order inside each shared group."""
         open_rows = bounds.filter(F.col("bound") >= F.lit(d * self.cost))
         wanted = open_rows.select("pid", "need", F.explode(self.shared_groups(d)).alias("grp"))
@@ -112,9 +134,9 @@ class _Search:
             "pid", *self.values, F.explode(self.shared_groups(d)).alias("grp")
         ).join(wanted.select("grp").distinct(), "grp", "left_semi")
         found = []
-        for axis, parts in enumerate(axes):
-            near = Window.partitionBy("grp", "part").orderBy(f"v{axis}", "pid").rowsBetween(-self.k, self.k)
-            packed = parts.add(data).select(
+        for curve in curves:
+            near = Window.partitionBy("grp", "part").orderBy("high", "low", "pid").rowsBetween(-self.k, self.k)
+            packed = curve.add(data).select(
                 "pid", "grp", *self.values,
                 F.collect_list(F.struct("pid", *self.values)).over(near).alias("near"),
             )
@@ -155,16 +177,15 @@ class _Search:
         queries = bounds.filter(F.col("bound") >= F.lit(d * self.cost)).select(
             "pid", "bound", *self.values,
             self.radius(d, floor_radius).alias("radius"), self.level(d, floor_radius).alias("level"),
-            F.explode(self.shared_groups(d)).alias("grp"),
+            F.posexplode(self.shared_groups(d)).alias("block", "grp"),
         )
-        grid = range(min(self.m, GRID_COLUMNS))
         width = F.when(F.col("level") != NO_LEVEL, F.pow(F.lit(2.0), F.col("level")))
 
         def cell(value: Column) -> Column:
             return F.coalesce(F.floor(value / width).cast("bigint"), F.lit(0))
 
         left = queries
-        for i in grid:
+        for i in self.grid:
             left = left.select(
                 "*",
                 F.explode(F.sequence(
@@ -175,20 +196,31 @@ class _Search:
             F.col("pid").alias("other"), "members", *self.values,
             F.explode(self.shared_groups(d)).alias("grp"),
         ).select("*", F.explode(F.array(*[F.lit(x) for x in levels])).alias("level"))
-        for i in grid:
+        for i in self.grid:
             right = right.withColumn(f"cell{i}", cell(F.col(f"v{i}")))
-        right = right.select(
-            "other", "members", F.col("grp").alias("g2"), F.col("level").alias("l2"),
-            *[F.col(v).alias(f"o_{v}") for v in self.values], *[F.col(f"cell{i}").alias(f"c2_{i}") for i in grid],
+        place = ["grp", "level", *[f"cell{i}" for i in self.grid]]
+        # Cells with very many profiles: these are dealt to several tasks, and those asking go to each.
+        crowded = right.groupBy(*place).agg(F.ceil(F.count("*") / CELL_ROWS).cast("int").alias("parts"))
+        crowded = materialize(
+            crowded.filter("parts > 1").join(left.select(*place).distinct(), place, "left_semi"), "crowded-cells"
+        )
+        parts = F.coalesce("parts", F.lit(1))
+        left = left.join(crowded, place, "left").select(
+            "pid", "bound", "block", *self.values, *place,
+            F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt"),
+        )
+        right = right.join(crowded, place, "left").select(
+            "other", "members", *[F.col(v).alias(f"o_{v}") for v in self.values], *place,
+            F.pmod(F.xxhash64("other"), parts).cast("int").alias("salt"),
+        )
+        a, b = (lambda i: F.col(f"v{i}")), (lambda i: F.col(f"o_v{i}"))
+        distance = self.distance(a, b)
+        wrong = self.mismatches(a, b) if self.c else F.lit(0)
+        joined = left.join(right, [*place, "salt"]).filter(
+            (F.col("pid") != F.col("other")) & (wrong == d) & (distance <= F.col("bound"))
+            & (self.first_agreeing(a, b, d) == F.col("block"))
         )
-        distance = self.distance(lambda i: F.col(f"v{i}"), lambda i: F.col(f"o_v{i}"))
-        wrong = self.mismatches(lambda i: F.col(f"v{i}"), lambda i: F.col(f"o_v{i}")) if self.c else F.lit(0)
-        on = [
-            F.col("grp") == F.col("g2"), F.col("level") == F.col("l2"),
-            *[F.col(f"cell{i}") == F.col(f"c2_{i}") for i in grid],
-            F.col("pid") != F.col("other"), wrong == d, distance <= F.col("bound"),
-        ]
-        return left.join(right, reduce(lambda a, b: a & b, on)).select(
+        return joined.select(
             "pid", distance.alias("dist"), "members", *[F.col(f"o_{v}").alias(v) for v in self.values]
         )
 
@@ -198,18 +230,22 @@ class _Search:
         bounds = self.profiles.filter(need > 0).select(
             "pid", *self.values, need.alias("need"), F.lit(float("inf")).alias("bound")
         )
-        axes = [_AxisParts(self.profiles, f"v{i}") for i in range(self.m)]
+        numbers = self.values[: self.m]
+        spans = ranges(self.profiles, numbers)
+        # The columns with the widest ranges tell rows apart best.
+        self.grid = sorted(range(self.m), key=lambda i: spans[i][0] - spans[i][1])[:GRID_COLUMNS]
+        curves = [_Curve(self.profiles, numbers, spans, x) for x in (SHIFTS if self.m > 1 else SHIFTS[:1])]
         depth = -1
         for d in range(self.c + 1):
-            bounds = materialize(self.tighten(bounds, d, axes), "neighbour-bounds")
+            bounds = materialize(self.tighten(bounds, d, curves), "neighbour-bounds")
             widest = bounds.agg(F.max("bound")).first()[0]
             if widest is None:
                 break
             depth = d
             if widest < (d + 1) * self.cost:
                 break
-        reach = self.profiles.agg(F.max(F.greatest(*[F.abs(f"v{i}") for i in range(self.m)], F.lit(0.0)))).first()[0]
-        floor_radius = max(self.cost**0.5 * 1e-6, (reach or 0.0) * 2.0**-50, 1e-300)
+        reach = max(abs(x) for span in spans for x in span)
+        floor_radius = max(self.cost**0.5 * 1e-6, reach * 2.0**-50, 1e-300)
         pairs = [self.profiles.select("pid", F.lit(0.0).alias("dist"), "members", *self.values)]
         if depth >= 0:
             for d, levels in enumerate(self.levels_in_use(bounds, depth, floor_radius)):

@@ -440,6 +440,14 @@ def oracle_sql() -> dict[str, str]:
             ["o_totalprice", "c_acctbal"], ["o_orderpriority", "c_mktsegment", "late_year"])}
             SELECT base_key AS o_orderkey, CAST(nth - 1 AS INTEGER) AS position, near_key, round(dist, 4) AS dist
             FROM nearest""",
+        "scaled_neighbours": f"""WITH {ORD}, scaled AS (
+              SELECT * REPLACE (
+                round((o_totalprice - avg(o_totalprice) OVER ()) / stddev_pop(o_totalprice) OVER (), 6) AS o_totalprice,
+                round((c_acctbal - avg(c_acctbal) OVER ()) / stddev_pop(c_acctbal) OVER (), 6) AS c_acctbal)
+              FROM ord), {_neighbours("scaled WHERE target = 1", "o_orderkey",
+            ["o_totalprice", "c_acctbal"], ["o_orderpriority", "c_mktsegment", "late_year"])}
+            SELECT base_key AS o_orderkey, CAST(nth - 1 AS INTEGER) AS position, near_key, round(dist, 4) AS dist
+            FROM nearest""",
         "smotenc_balance": f"""WITH {RISK}, c AS (SELECT target AS label, count(*) AS n FROM risk GROUP BY 1),
             new AS (SELECT CAST(floor(5e-1 * max(n) - min(n)) AS BIGINT) AS n_new FROM c)
             SELECT label, n AS n_before, n + CASE label WHEN 1 THEN n_new ELSE 0 END AS n_after,

@@ -166,6 +166,18 @@ def minority_neighbours(spark, sf):
     )
 
 
+def scaled_neighbours(spark, sf):
+    """Neighbours over two columns of the same spread, where sorting by one of them tells little."""
+    orders = risk_orders(spark, sf)
+    learned = encode.Encoding.fit(orders, ORDER_SPEC)
+    scaled = orders.select("o_orderkey", *[F.round(learned.scaled(c), 6).alias(c) for c in ORDER_SPEC.numeric],
+                           *ORDER_SPEC.nominal, "target")
+    near = smotenc.minority_neighbours(scaled, ORDER_SPEC)
+    return near.select("o_orderkey", F.posexplode("near").alias("position", "entry")).select(
+        "o_orderkey", "position", F.col("entry.key").alias("near_key"), F.round("entry.dist", 4).alias("dist")
+    )
+
+
 def smotenc_balance(spark, sf):
     before = risk_events(spark, sf)
     return smotenc.balance_report(before, smotenc.smotenc(before, RISK_SPEC), "target")
@@ -473,6 +485,7 @@ def all_queries():
         "class_weight_map": class_weight_map,
         "smotenc_documents": lambda s, sf: _synthetic(labelled_documents(s, sf), DOC_SPEC),
         "minority_neighbours": minority_neighbours,
+        "scaled_neighbours": scaled_neighbours,
         "smotenc_balance": smotenc_balance,
         "smotenc_integrity": smotenc_integrity,
         "select_features": select_features,

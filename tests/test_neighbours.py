@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 
 from riskmill.operators import neighbours, prefix
+from riskmill.operators.morton import morton_code, ranges
 from riskmill.operators.neighbours import nearest_rows
 
 
@@ -69,3 +70,55 @@ def test_no_nominal_columns_and_few_profiles(spark):
 def test_missing_category_is_a_value(spark):
     rows = [(i, float(i), None if i % 4 == 0 else "a") for i in range(40)]
     check(spark, rows, "k long, x double, c string", ["x"], ["c"], 50.0)
+
+
+def test_crowded_cells_are_dealt_out(spark, monkeypatch):
+    """Isolated rows ask for coarse cells that hold a crowd."""
+    monkeypatch.setattr(neighbours, "CELL_ROWS", 15)
+    rng = np.random.default_rng(4)
+    rows = [(i, float(rng.normal(0, 0.1)), float(rng.normal(0, 0.1)), "ab"[i % 2]) for i in range(200)]
+    rows += [(300 + i, float(rng.uniform(-50, 50)), float(rng.uniform(-50, 50)), "abc"[i % 3]) for i in range(30)]
+    check(spark, rows, "k long, x double, y double, c string", ["x", "y"], ["c"], 2.0)
+
+
+def fetched(spark, monkeypatch, n):
+    """Pairs that the search fetches for n rows, uniform in a square."""
+    rng = np.random.default_rng(n)
+    rows = [(i, float(a), float(b)) for i, (a, b) in enumerate(rng.uniform(0, 1, (n, 2)))]
+    pairs, fetch = [], neighbours._Search.fetch
+
+    def counted(self, *args):
+        out = fetch(self, *args)
+        pairs.append(out.count())
+        return out
+
+    monkeypatch.setattr(neighbours._Search, "fetch", counted)
+    df = spark.createDataFrame(rows, "k long, x double, y double")
+    lists = nearest_rows(df, "k", ["x", "y"], [], 1.0, 5)
+    assert lists.where("size(near) = 5").count() == n
+    monkeypatch.setattr(neighbours._Search, "fetch", fetch)
+    return sum(pairs)
+
+
+def test_fetched_pairs_grow_with_the_rows(spark, monkeypatch):
+    """Two columns of the same spread: pairs in proportion to the rows, not to their square."""
+    few, many = (fetched(spark, monkeypatch, n) for n in (1000, 4000))
+    assert many <= 5 * few
+    assert few <= 40 * 1000
+
+
+def test_curve_codes_are_interleaved_bits(spark):
+    rng = np.random.default_rng(6)
+    rows = [(float(a), float(b)) for a, b in rng.uniform(-3, 5, (200, 2))] + [(-3.0, -3.0), (5.0, 5.0)]
+    df = spark.createDataFrame(rows, "x double, y double")
+    spans = ranges(df, ["x", "y"])
+    width = max(b - a for a, b in spans)
+    high, low = morton_code(["x", "y"], spans, 1 / 3)
+    for r in df.select("x", "y", high.alias("high"), low.alias("low")).collect():
+        steps = [int(((v - lo) / width + 1 / 3) * 2.0**51) for v, (lo, _) in zip((r["x"], r["y"]), spans, strict=True)]
+        wanted = 0
+        for bit in range(51, -1, -1):
+            for x in steps:
+                wanted = wanted << 1 | (x >> bit & 1)
+        assert abs(((r["high"] << 42) | r["low"]) - wanted) <= 1 << 42
+        assert ((r["high"] << 42) | r["low"]) >> 46 == wanted >> 46
