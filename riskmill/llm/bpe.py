@@ -7,6 +7,10 @@ two (the pair-compatibility table). Where no token fits, the last one is taken b
 positions that were proved dead are not visited again, so a piece takes linear time. The outcome is the one
 of the merge rules, exactly.
 
+Pieces that a slice of texts brings for the first time are encoded together: one automaton pass over all of them, then
+the same backtracking in lock step, one NumPy operation for all pieces at a time. Pieces longer than ``TOGETHER`` bytes
+would keep the others waiting and go one by one.
+
 Decoding gathers token bytes through an offset table into one flat byte array.
 
 Defined cases: a null text is empty; an empty text has no ids; strings of the added tokens in a text become
@@ -21,6 +25,7 @@ import re
 import sys
 from array import array
 from functools import lru_cache
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -35,6 +40,9 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 if sys.byteorder != "little" or array("I").itemsize != 4:
     raise ImportError("ids are kept as little-endian 32-bit numbers")
 ODD_SPACE = regex.compile(r" (?!\S)")
+#: Bytes of a piece that is encoded together with others; entries of the pair table's direct-mapped part.
+TOGETHER, PAIRS = 64, 1 << 20
+SHIFT = 20
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -83,11 +91,16 @@ class Codec:
         self.sizes = [len(n) for n in self.names]
         self.out = [public[t] for t in self.names]
         self.order = order
+        # Tokens of one or two bytes are found by their bytes alone, longer ones by the automaton.
         self.finder = ahocorasick.Automaton()
+        self.two_bytes = np.repeat(np.arange(256), 256)
         for name, number in order.items():
-            if len(name) > 1:
-                self.finder.add_word(name, (len(name) - 1, number))
+            if len(name) == 2:
+                self.two_bytes[ord(name[0]) << 8 | ord(name[1])] = number
+            elif len(name) > 2:
+                self.finder.add_word(name, (len(name) - 1) << SHIFT | number)
         self.finder.make_automaton()
+        self.short = self.two_bytes.tolist()
         # The longest token that is a proper prefix of a token.
         self.shorter = [next((order[n[:k]] for k in range(len(n) - 1, 0, -1) if n[:k] in order), -1)
                         for n in self.names]
@@ -106,8 +119,17 @@ class Codec:
         self.bytes_of = OffsetTable(table)
         self.decimals = OffsetTable([b"%d," % i for i in range(len(table))])
         self.findall = regex.compile(PIECES).findall
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}
         self.most_pairs = 2 * cached
+        self.pair_keys, self.pair_fits = np.full(PAIRS, -1, np.int64), np.zeros(PAIRS, bool)
+        made = sorted((a << SHIFT | b, n) for (a, b), n in self.joined.items())
+        # With a last key that no pair has, so that a search always ends inside.
+        self.joined_keys = np.array([k for k, _ in made] + [1 << 62], np.int64)
+        self.joined_numbers = np.array([n for _, n in made] + [len(self.parts)], np.int64)
+        self.part_arrays = np.array(self.parts, np.int64).T.copy()
+        self.size_array, self.shorter_array = np.array(self.sizes, np.int64), np.array(self.shorter, np.int64)
+        self.out_array = np.array(self.out, "<u4")
+        self.fresh: dict[str, bytes] = {}
         self.pieces = WordCache(self._piece, cached // 4)
         self.words = WordCache(self._word, 2 * cached)
 
@@ -130,16 +152,113 @@ class Codec:
                 # At equal age the left one is joined first, so the right one's rule still counts.
                 bound, right = right + 1, self.parts[right][0]
 
+    def _compatible_all(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """``_compatible`` of many pairs in lock step."""
+        fit, own = np.ones(len(left), bool), np.arange(len(left))
+        bound = np.full(len(left), len(self.parts))
+        first, second = self.part_arrays
+        while len(own):
+            key = left << SHIFT | right
+            at = np.searchsorted(self.joined_keys, key)
+            joined = (self.joined_keys[at] == key) & (self.joined_numbers[at] < bound)
+            fit[own[joined]] = False
+            on = ~joined & ((left >= 256) | (right >= 256))
+            own, left, right = own[on], left[on], right[on]
+            open_left = (right < 256) | ((left > right) & (left >= 256))
+            bound = np.where(open_left, left, right + 1)
+            left, right = np.where(open_left, second[left], left), np.where(open_left, right, first[right])
+        return fit
+
+    def _fits_all(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Pair compatibility through the table; pairs that it doesn't hold are worked out and stored."""
+        key = left << SHIFT | right
+        at = (key * 0x9E3779B1 >> 7) & (PAIRS - 1)
+        fit, unknown = self.pair_fits[at], np.flatnonzero(self.pair_keys[at] != key)
+        if len(unknown):
+            new, where = np.unique(key[unknown], return_inverse=True)
+            found = self._compatible_all(new >> SHIFT, new & ((1 << SHIFT) - 1))
+            fit[unknown] = found[where]
+            # One at a time per place: of keys that share one, the last is held with its own answer.
+            place = (new * 0x9E3779B1 >> 7) & (PAIRS - 1)
+            _, last = np.unique(place[::-1], return_index=True)
+            last = len(new) - 1 - last
+            self.pair_keys[place[last]], self.pair_fits[place[last]] = new[last], found[last]
+        return fit
+
+    def _together(self, pieces: list[str]) -> dict[str, bytes]:
+        """Ids of pieces of at most ``TOGETHER`` bytes, all worked on side by side.
+
+        Positions are those in the joined pieces, with one place between two of them. ``chosen`` holds the token taken at
+        a position, ``back`` where the token that ends at a position began.
+        """
+        names = [p.encode().decode("latin-1") for p in pieces]
+        joined = "\u0100".join(names)
+        begin = np.zeros(len(names), np.int64)
+        length = np.fromiter(map(len, names), np.int64, len(names))
+        np.cumsum(length[:-1] + 1, out=begin[1:])
+        end = begin + length
+        data = np.frombuffer(joined.encode("utf-16-le"), "<u2").astype(np.int64)
+        longest = data.copy()
+        # A border's number is above all bytes.
+        inner = np.flatnonzero((data[:-1] < 256) & (data[1:] < 256))
+        longest[inner] = self.two_bytes[data[inner] << 8 | data[inner + 1]]
+        found = np.fromiter(chain.from_iterable(self.finder.iter(joined)), np.int64).reshape(-1, 2)
+        # Ends ascend, so the longest of a start comes last, and the last one counts.
+        longest[found[:, 0] - (found[:, 1] >> SHIFT)] = found[:, 1] & ((1 << SHIFT) - 1)
+        places = len(joined) + 1
+        alive, chosen, back = np.ones(places, bool), np.zeros(places, np.int64), np.zeros(places, np.int64)
+        own, at, before = np.arange(len(names)), begin.copy(), np.full(len(names), -1)
+        token = longest[at]
+        while len(own):
+            to = at + self.size_array[token]
+            fit = alive[to]
+            asked = np.flatnonzero(fit & (before >= 0))
+            fit[asked] = self._fits_all(before[asked], token[asked])
+            # Taken: on to the longest token at its end.
+            taken = np.flatnonzero(fit)
+            chosen[at[taken]], back[to[taken]] = token[taken], at[taken]
+            before[taken], at[taken] = token[taken], to[taken]
+            # Not taken: the next shorter one, or the last taken one is taken back for its next shorter one.
+            left = np.flatnonzero(~fit)
+            token[left] = self.shorter_array[token[left]]
+            ended = at[taken] == end[own[taken]]
+            on = taken[~ended]
+            token[on] = longest[at[on]]
+            stuck = left[token[left] < 0]
+            while len(stuck):
+                alive[at[stuck]] = False
+                at[stuck] = last = back[at[stuck]]
+                token[stuck] = self.shorter_array[chosen[last]]
+                before[stuck] = np.where(last == begin[own[stuck]], -1, chosen[back[last]])
+                stuck = stuck[token[stuck] < 0]
+            if ended.any():
+                rest = np.ones(len(own), bool)
+                rest[taken[ended]] = False
+                own, at, before, token = own[rest], at[rest], before[rest], token[rest]
+        starts, at, first = np.zeros(places, bool), end, begin
+        while len(at):
+            at = back[at]
+            starts[at] = True
+            more = at != first
+            at, first = at[more], first[more]
+        ids = self.out_array[chosen[starts]].tobytes()
+        before = np.concatenate([[0], np.cumsum(starts)])
+        cuts = zip((4 * before[begin]).tolist(), (4 * before[end]).tolist(), strict=True)
+        return {piece: ids[a:b] for piece, (a, b) in zip(pieces, cuts, strict=True)}
+
     def _piece(self, piece: str) -> bytes:
         """Ids of one pre-tokenised piece, as little-endian 32-bit numbers."""
+        known = self.fresh.get(piece)
+        if known is not None:
+            return known
         name = piece.encode().decode("latin-1")
         whole = self.order.get(name)
         if whole is not None:
             return self.out[whole].to_bytes(4, "little")
         data = piece.encode()
-        longest = list(data)
-        for end, (back, number) in self.finder.iter(name):  # ends ascend, so the longest of a start comes last
-            longest[end - back] = number
+        longest = [self.short[a << 8 | b] for a, b in zip(data, data[1:], strict=False)] + [data[-1]]
+        for end, match in self.finder.iter(name):  # ends ascend, so the longest of a start comes last
+            longest[end - (match >> SHIFT)] = match & ((1 << SHIFT) - 1)
         sizes, shorter, fits = self.sizes, self.shorter, self.fits
         size, alive, made, at, before, token = len(data), bytearray(b"\x01") * (len(data) + 1), [], 0, -1, longest[0]
         while at < size:
@@ -148,12 +267,12 @@ class Codec:
                 if alive[end]:
                     if before < 0:
                         break
-                    fit = fits.get((before, token))
+                    fit = fits.get(before << SHIFT | token)
                     if fit is None:
                         fit = self._compatible(before, token)
                         if len(fits) >= self.most_pairs:
                             fits.clear()
-                        fits[before, token] = fit
+                        fits[before << SHIFT | token] = fit
                     if fit:
                         break
                 token = shorter[token]
@@ -196,6 +315,50 @@ class Codec:
             self.added[p].to_bytes(4, "little") if i % 2 else self._plain(p) for i, p in enumerate(parts)
         ), "<u4")
 
+    def _parts(self, word: str) -> list[str]:
+        """The pieces whose ids ``_word`` needs."""
+        if word.isalpha():
+            return [" " + word]
+        if word[-1:] in ".,!?;:" and word[:-1].isalpha():
+            return [" " + word[:-1], word[-1]]
+        return self.findall(" " + word)
+
+    def encode_many(self, texts: list[str]) -> list[np.ndarray]:
+        """``encode`` of every text; pieces that none of them has had before are encoded together."""
+        words, pieces, plans = set(), set(), []
+        for text in texts:
+            if self.added_split is not None and any(t in text for t in self.added):
+                plans.append(None)
+            elif ODD_SPACE.search(text):
+                plans.append((self.findall(text), ()))
+                pieces.update(plans[-1][0])
+            else:
+                head, *rest = text.split(" ")
+                plans.append((self.findall(head), rest))
+                pieces.update(plans[-1][0])
+                words.update(rest)
+        held, old = self.words, self.words.old
+        words = [w for w in words if w not in held and w not in old]
+        parts = [[" " + w] if w.isalpha() else self._parts(w) for w in words]
+        pieces.update(chain.from_iterable(parts))
+        known, old = self.pieces, self.pieces.old
+        new = [p for p in pieces if p not in known and p not in old and len(p.encode()) <= TOGETHER]
+        self.fresh = fresh = self._together(new) if new else {}
+        held.hold_all({
+            word: (fresh.get(part[0]) or known[part[0]]) if len(part) == 1
+            else b"".join([fresh.get(p) or known[p] for p in part])
+            for word, part in zip(words, parts, strict=True) if len(word) <= held.longest
+        })
+        out = []
+        for text, plan in zip(texts, plans, strict=True):
+            if plan is None:
+                out.append(self.encode(text))
+            else:
+                parts = [*map(self.pieces.__getitem__, plan[0]), *map(self.words.__getitem__, plan[1])]
+                out.append(np.frombuffer(b"".join(parts), "<u4"))
+        self.fresh = {}
+        return out
+
     def decode_bytes(self, ids: np.ndarray) -> bytes:
         return self.bytes_of.gather(np.asarray(ids, np.int64))[0]
 
@@ -227,8 +390,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     content = docs.sparkSession.sparkContext.broadcast(vocabulary(path))
 
     def make(ids, texts):
-        encode = codec(content.value).encode
-        rows = [encode(t) for t in texts]
+        rows = codec(content.value).encode_many(texts)
         return {"doc_id": ids, "n_tokens": [len(r) for r in rows], "ids": [r.astype(np.int32) for r in rows]}
 
     return documents(docs).mapInArrow(in_slices(make, ENCODED), "doc_id long, n_tokens long, ids array<int>")
@@ -261,7 +423,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
 
     def make(doc_ids, texts):
         own = codec(content.value)
-        rows = [own.encode(t) for t in texts]
+        rows = own.encode_many(texts)
         ids = np.concatenate(rows).astype(np.int64)
         ends = np.cumsum([0, *map(len, rows)])
         decimals, at = own.decimals.gather(ids)
@@ -277,5 +439,5 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
         }
 
     return documents(docs).mapInArrow(
-        in_slices(make, DIGESTS, 500_000), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+        in_slices(make, DIGESTS, 1_000_000), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     )

@@ -71,15 +71,14 @@ def cut(docs: DataFrame, path: str, size: int = SIZE, end: int = END, keep_ids:
     last = np.array([end], "<u4")
 
     def make(doc_ids, texts):
-        encode = codec(content.value).encode
         out = {name: [] for name, _ in fields}
-        for doc_id, text in zip(doc_ids, texts, strict=True):
-            ids = np.concatenate([encode(text), last])
+        for doc_id, encoded in zip(doc_ids, codec(content.value).encode_many(texts), strict=True):
+            ids = np.concatenate([encoded, last])
             first = len(ids) % size or size
             for piece, to in enumerate(range(first, len(ids) + 1, size)):
                 start = max(0, to - size) if piece else 0
                 part = ids[start:to]
-                values = (doc_id, piece, start, to - start, zlib.crc32(part.tobytes()), part.astype(np.int32))
+                values = (doc_id, piece, start, to - start, zlib.crc32(part), part.astype(np.int32) if keep_ids else None)
                 for (name, _), value in zip(fields, values, strict=False):
                     out[name].append(value)
         return out

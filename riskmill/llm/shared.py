@@ -129,5 +129,12 @@ class WordCache(dict):
         self[word] = value
         return value
 
+    def hold_all(self, values: dict) -> None:
+        """Keeps values made elsewhere until the next generation but one, however many they are."""
+        if len(self) + len(values) > self.limit:
+            self.old = dict(self)
+            self.clear()
+        self.update(values)
+
     def of(self, words: list, dtype=np.uint64) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), dtype, len(words))

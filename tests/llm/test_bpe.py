@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -62,3 +63,28 @@ def test_documents(spark, library):
         assert got[i].decoded_sha256 == hashlib.sha256((text or "").encode()).hexdigest()
         assert back[i] == (text or "")
     assert bpe.digests(docs.limit(0), PATH).count() == 0
+
+
+def test_pieces_encoded_together_equal_the_library(library):
+    """Slices of random texts, so that many pieces are new at once: short and long, odd spaces, marks, other scripts."""
+    own, draw = bpe.Codec(bpe.vocabulary(PATH)), random.Random(11)
+    syllables = ["th", "in", "er", "an", "re", "on", "é", "ß", "日本", "😀", "ing", "tion", "'s", "1", "\n", "  ", "\x00", "Ä", "<"]
+    slices = [
+        [" ".join("".join(draw.choices(syllables, k=draw.randint(1, 9))) for _ in range(draw.randint(0, 60)))
+         for _ in range(40)] + ["a" * 300, "xyz" * 40 + " " + "é" * 33, "", " ", "<|endoftext|> x", " a  b "]
+        for _ in range(6)
+    ]
+    for texts in slices:
+        for ids, text in zip(own.encode_many(texts), texts, strict=True):
+            assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_pair_table_equals_single_answers():
+    own, draw = bpe.Codec(bpe.vocabulary(PATH)), random.Random(3)
+    n = len(own.parts)
+    left = np.array([draw.choice((draw.randrange(256), draw.randrange(n))) for _ in range(3000)])
+    right = np.array([draw.choice((draw.randrange(256), draw.randrange(n))) for _ in range(3000)])
+    wanted = [own._compatible(int(a), int(b)) for a, b in zip(left, right, strict=True)]
+    assert own._compatible_all(left, right).tolist() == wanted
+    for _ in range(2):
+        assert own._fits_all(left, right).tolist() == wanted
