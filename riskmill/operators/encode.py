@@ -24,6 +24,8 @@ class Encoding:
     means: dict
     scales: dict
     labels: dict
+    #: Cut points of numeric columns, for encodings that number bins instead of scaling.
+    cuts: dict | None = None
 
     @classmethod
     def fit(cls, df: DataFrame, spec: FeatureSpec) -> Encoding:
@@ -63,6 +65,20 @@ class Encoding:
     def scaled(self, column: str) -> Column:
         return (q(column).cast("double") - F.lit(self.means[column])) / F.lit(self.scales[column])
 
+    def binned(self, df: DataFrame) -> DataFrame:
+        """``df`` with every number replaced by one that stands for its bin (the bin's lower border)."""
+        out = {}
+        for c in self.spec.numeric:
+            own = self.cuts[c]
+            borders = F.lit([own[0] - 1.0 if own else 0.0, *own]).cast("array<double>")
+            out[c] = F.when(q(c).isNotNull(), F.get(borders, F.expr(self._bin_number(c))))
+        return df.withColumns(out) if out else df
+
+    def _bin_number(self, c: str) -> str:
+        """SQL for the number of cuts that a value reaches."""
+        own = ", ".join(f"{x!r}D" for x in self.cuts[c])
+        return f"size(filter(CAST(array({own}) AS ARRAY<DOUBLE>), t -> t <= CAST(`{c}` AS DOUBLE)))"
+
     def slots(self) -> list[str]:
         """Names of the vector positions, in order."""
         return (
@@ -75,7 +91,9 @@ class Encoding:
         """The same encoding as ML stages that add a sparse ``features`` vector and can be saved."""
         spec = self.spec
         numbers = [
-            f"(CAST(`{c}` AS DOUBLE) - ({self.means[c]!r}D)) / {self.scales[c]!r}D AS `num__{c}`" for c in spec.numeric
+            f"(CAST(`{c}` AS DOUBLE) - ({self.means[c]!r}D)) / {self.scales[c]!r}D AS `num__{c}`" if self.cuts is None
+            else f"IF(`{c}` IS NULL, NULL, CAST({self._bin_number(c)} AS DOUBLE)) AS `num__{c}`"
+            for c in spec.numeric
         ] + [f"CAST(`{c}` AS DOUBLE) AS `bin__{c}`" for c in spec.binary]
         stages = [SQLTransformer(statement=f"SELECT *, {', '.join(numbers)} FROM __THIS__")] if numbers else []
         if spec.categorical:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from riskmill.functions.scalars import add_all, logistic, q, safe_div
 from riskmill.operators.encode import Encoding
+from riskmill.operators.quantiles import exact_quantiles
 from riskmill.operators.smotenc import smotenc
 from riskmill.session import materialize
 from riskmill.spec import FeatureSpec
@@ -36,6 +37,8 @@ CANDIDATES = (
 )
 BALANCED = ("class_weight", "sample_weight")
 STRATEGIES = ("baseline", "smotenc", "scale_pos_weight", *BALANCED)
+#: Bins of a numeric column that trees may split between: as many as Spark's learners look at.
+BINS = 32
 
 
 @dataclass(frozen=True)
@@ -78,15 +81,17 @@ def score_with(stages: PipelineModel, df: DataFrame) -> DataFrame:
     return scored.select(*[q(c) for c in df.columns], vector_to_array(F.col("probability"))[1].alias("score"))
 
 
-def strategy_weight(spec: FeatureSpec, strategy: str, n0: int, n1: int) -> Column:
-    """Weight of a training row under a strategy, from the class counts."""
-    positive = q(spec.target) == 1
+def strategy_factors(strategy: str, n0: int, n1: int) -> tuple[float, float]:
+    """Weights of a negative and a positive training row under a strategy, from the class counts."""
     if strategy in BALANCED:
-        n = n0 + n1
-        return F.when(positive, F.lit(n / (2 * n1))).otherwise(F.lit(n / (2 * n0)))
-    if strategy == "scale_pos_weight":
-        return F.when(positive, F.lit(n0 / n1)).otherwise(F.lit(1.0))
-    return F.lit(1.0)
+        return (n0 + n1) / (2 * n0), (n0 + n1) / (2 * n1)
+    return 1.0, n0 / n1 if strategy == "scale_pos_weight" else 1.0
+
+
+def strategy_weight(spec: FeatureSpec, strategy: str, n0: int, n1: int) -> Column:
+    """Weight of a training row under a strategy."""
+    negative, positive = strategy_factors(strategy, n0, n1)
+    return F.when(q(spec.target) == 1, F.lit(positive)).otherwise(F.lit(negative))
 
 
 def collapse_rows(df: DataFrame, spec: FeatureSpec) -> DataFrame:
@@ -121,14 +126,20 @@ def _classifier(model: str, weight_total: float, s: ModelSettings):
     raise ValueError(f"Unknown model: {model}")
 
 
-def learn(rows: DataFrame, spec: FeatureSpec) -> tuple[Encoding, dict]:
-    """The encoding of training rows and their class counts."""
+def bin_cuts(rows: DataFrame, spec: FeatureSpec, bins: int = BINS) -> dict:
+    """Exact quantiles of every numeric column, as cuts of about equally full bins."""
+    found = exact_quantiles(rows, spec.numeric, [i / bins for i in range(1, bins)])
+    return {c: tuple(sorted({x for x in cuts if x is not None})) for c, cuts in found.items()}
+
+
+def learn(rows: DataFrame, spec: FeatureSpec, binned: bool = False) -> tuple[Encoding, dict]:
+    """The encoding of training rows (numbers ``binned`` or scaled) and their class counts."""
     encoding, facts = Encoding.fit_with(rows, spec, {
         "n0": F.count_if(q(spec.target) == 0), "n1": F.count_if(q(spec.target) == 1),
     })
     if not facts["n0"] or not facts["n1"]:
         raise ValueError("training rows must hold both classes")
-    return encoding, facts
+    return (replace(encoding, cuts=bin_cuts(rows, spec)) if binned else encoding), facts
 
 
 def fit_candidate(
@@ -138,9 +149,11 @@ def fit_candidate(
     """Resample, learn the encoding from the resampled rows, fit the classifier.
 
     Only ``train`` is looked at. ``resampled`` and ``learned`` may pass in its resampled rows and
-    what was learned from the fitted rows when several candidates share them. Logistic regression
-    is fitted on equal rows collapsed to weighted ones, which is the same problem; trees are not,
-    since their split candidates come from a sample of rows.
+    what was learned from the fitted rows when several candidates share them. Equal rows are
+    collapsed to weighted ones, which is the same problem for logistic regression, and for boosting
+    once numbers are binned: with no more values than bins, all of them are split candidates and
+    none come from a sample. Forests see single rows, since they draw them one by one; bins bound
+    the size of their trees.
     """
     if model not in (LOGISTIC, FOREST, BOOSTING, EXTREME):
         raise ValueError(f"Unknown model: {model}")
@@ -152,10 +165,12 @@ def fit_candidate(
             smotenc(train, spec, settings.ratio, settings.neighbours, settings.seed), "resampled"
         )
     rows = rows.select(*spec.features, spec.target)
-    encoding, facts = learned or learn(rows, spec)
+    encoding, facts = learned or learn(rows, spec, binned=model != LOGISTIC)
     n0, n1 = facts["n0"], facts["n1"]
     weight_total = float(n0 + n0 if strategy == "scale_pos_weight" else n0 + n1)
-    data = collapse_rows(rows, spec) if model == LOGISTIC else rows.withColumn("copies", F.lit(1.0))
+    if encoding.cuts is not None:
+        rows = encoding.binned(rows)
+    data = rows.withColumn("copies", F.lit(1.0)) if model == FOREST else collapse_rows(rows, spec)
     weight = F.col("copies") * strategy_weight(spec, strategy, n0, n1)
     encoder = encoding.transformer(train.sparkSession)
     prepared = encoder.transform(data).select(

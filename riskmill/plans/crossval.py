@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,8 @@ from pyspark.sql import functions as F
 from riskmill.functions.scalars import one_row, q
 from riskmill.operators.choose import cv_summary, select_candidate
 from riskmill.operators.metrics import all_metrics, fold_metrics
-from riskmill.operators.models import CANDIDATES, Fitted, ModelSettings, fit_candidate, learn
+from riskmill.operators.models import CANDIDATES, LOGISTIC, Fitted, ModelSettings, fit_candidate, learn
+from riskmill.operators.newton import Fit, fit_many, too_wide
 from riskmill.operators.smotenc import smotenc
 from riskmill.operators.split import stratified_kfold, stratified_split
 from riskmill.session import materialize, new_folder
@@ -52,8 +54,10 @@ def out_of_fold_scores(
 ) -> DataFrame:
     """Every training row scored once per candidate by the model that has not seen its fold.
 
-    Resampled rows are made and encodings are learned once per fold and shared. Each fit's scores
-    are written as soon as they exist, so a lost executor costs one fit at most.
+    Resampled rows are made and encodings are learned once per fold and shared. All logistic
+    regressions are fitted side by side, a scan of the rows per step of all of them (one by one only
+    if categories need more slots than fit a dense matrix; the optimum is the same). Scores are
+    written as soon as they exist, so a lost executor costs one fit at most.
     """
     spark = folds.sparkSession
     unknown = [c for c in candidates if c not in CANDIDATES]
@@ -61,7 +65,7 @@ def out_of_fold_scores(
         raise ValueError(f"Unknown candidates: {unknown}")
     path = new_folder(spark, "scores")
     resampled: dict[int, DataFrame] = {}
-    learned: dict[tuple[int, bool], tuple] = {}
+    learned: dict[tuple[int, bool, bool], tuple] = {}
 
     def train_rows(fold: int) -> DataFrame:
         return folds.filter(F.col("fold") != fold)
@@ -71,20 +75,53 @@ def out_of_fold_scores(
         if synthetic:
             new = smotenc(rows, spec, settings.ratio, settings.neighbours, settings.seed)
             rows = resampled[fold] = materialize(new, f"resampled-{fold}")
-        learned[fold, synthetic] = learn(rows, spec)
+        if (synthetic, True) in kinds:
+            learned[fold, synthetic, True] = learn(rows, spec, binned=True)
+        if (synthetic, False) in kinds:
+            learned[fold, synthetic, False] = learn(rows, spec)
 
     def fit(seq: int, model: str, strategy: str, fold: int):
         synthetic = strategy == "smotenc"
         fitted = fit_candidate(
-            train_rows(fold), spec, model, strategy, settings, resampled.get(fold), learned[fold, synthetic]
+            train_rows(fold), spec, model, strategy, settings, resampled.get(fold),
+            learned[fold, synthetic, model != LOGISTIC],
         )
         held_out = folds.filter(F.col("fold") == fold)
         _scored(fitted, held_out, spec, seq, fold).write.parquet(f"{path}/fit={seq}-{fold}")
 
-    kinds = {strategy == "smotenc" for _, strategy in candidates}
-    _run_all(spark, [lambda a=(fold, kind): prepare(*a) for kind in sorted(kinds) for fold in range(k)])
-    _run_all(spark, [
-        lambda a=(CANDIDATES.index((m, s)), m, s, fold): fit(*a) for m, s in candidates for fold in range(k)
+    def fit_logistic(strategies: list[str]):
+        """All folds of all logistic candidates: every fit names the rows it learns from by their tag."""
+        columns = [*spec.features, spec.target]
+        rows = folds.select(*columns, F.concat(F.lit("fold "), F.col("fold").cast("string")).alias("tag"))
+        for fold, new in resampled.items():
+            rows = rows.unionByName(new.select(*columns, F.lit(f"resampled {fold}").alias("tag")))
+        tags = {
+            (s, fold): (f"resampled {fold}",) if s == "smotenc" else tuple(f"fold {g}" for g in range(k) if g != fold)
+            for s in strategies for fold in range(k)
+        }
+        fits = [Fit(f"{s} {fold}", tags[s, fold], s) for s, fold in tags]
+        scorers = fit_many(rows, spec, fits, settings.c)
+        parts = [
+            folds.filter(F.col("fold") == fold).select(
+                F.lit(LOGISTIC).alias("model"), F.lit(s).alias("strategy"),
+                F.lit(CANDIDATES.index((LOGISTIC, s))).alias("seq"), F.lit(fold).alias("fold"),
+                q(spec.key).cast("string").alias("key"), q(spec.target).cast("int").alias("label"),
+                scorers[f"{s} {fold}"].probability().alias("score"),
+            )
+            for s, fold in tags
+        ]
+        reduce(DataFrame.unionByName, parts).write.parquet(f"{path}/fit=logistic")
+
+    strategies = [s for m, s in candidates if m == LOGISTIC]
+    together = bool(strategies) and not too_wide(folds, spec)
+    alone = [(m, s) for m, s in candidates if not (together and m == LOGISTIC)]
+    # What the single fits need learned: from resampled rows or not, with binned numbers or not.
+    kinds = {(s == "smotenc", m != LOGISTIC) for m, s in alone}
+    needed = {synthetic for synthetic, _ in kinds} | {True for s in strategies if s == "smotenc"}
+    _run_all(spark, [lambda a=(fold, synthetic): prepare(*a) for synthetic in sorted(needed) for fold in range(k)])
+    jobs = [lambda: fit_logistic(strategies)] if together else []
+    _run_all(spark, jobs + [
+        lambda a=(CANDIDATES.index((m, s)), m, s, fold): fit(*a) for m, s in alone for fold in range(k)
     ])
     return spark.read.schema(SCORED).parquet(path)
 

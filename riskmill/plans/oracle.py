@@ -6,6 +6,8 @@ windows are fine here.
 
 from __future__ import annotations
 
+EVENTS = ("click", "error", "purchase", "signup", "view")
+
 
 def _draw(text: str) -> str:
     return f"(('0x' || substr(md5({text}), 1, 8))::BIGINT / 4294967296e0)"
@@ -332,6 +334,60 @@ outputs AS (
     CASE WHEN valid THEN 5e-1 END AS threshold_used, valid, errors, first_error FROM weighed)"""
 
 
+# Training rows with their fold, dealt out as kfold_assignment does.
+TRAIN_FOLDS = f"""{RISK_SPLIT}, train AS (SELECT row_id, target FROM parted WHERE split = 'train'),
+  dealt AS (SELECT target, (row_number() OVER (ORDER BY target) - 1) % 5 AS fold FROM train),
+  fold_sizes AS (SELECT target, fold, count(*) AS n FROM dealt GROUP BY ALL),
+  ends AS (SELECT target, fold, sum(n) OVER w AS upto, sum(n) OVER w - n AS after FROM fold_sizes
+    WINDOW w AS (PARTITION BY target ORDER BY fold ROWS UNBOUNDED PRECEDING)),
+  ranked AS (SELECT row_id, target, row_number() OVER (PARTITION BY target
+    ORDER BY md5('42|fold|' || row_id) || '|' || row_id) AS r FROM train),
+  folded AS (SELECT row_id, CAST(fold AS INTEGER) AS fold, r.target
+    FROM ranked r JOIN ends e ON r.target = e.target AND r.r > e.after AND r.r <= e.upto)"""
+
+
+def _newton(steps: int = 10) -> str:
+    """Out-of-fold scores of logistic regressions: Newton's method, its systems solved by elimination."""
+    cells = ["1e0", "(x_num - mean) / dev", *[f"CAST(x_cat = '{v}' AS DOUBLE)" for v in EVENTS], "CAST(x_bin AS DOUBLE)"]
+    d = range(len(cells))
+    linear = " + ".join(f"b{i} * c{i}" for i in d)
+    parts = [f"""scaled AS (
+    SELECT held.fold, avg(x_num) AS mean, stddev_pop(x_num) AS dev, count(*) FILTER (target = 0) AS n0,
+      count(*) FILTER (target = 1) AS n1
+    FROM (SELECT DISTINCT fold FROM folded) held, folded f JOIN risk r USING (row_id, target)
+    WHERE f.fold <> held.fold GROUP BY 1),
+  kinds(strategy) AS (VALUES ('baseline'), ('class_weight')),
+  design AS MATERIALIZED (
+    SELECT s.fold, strategy, row_id, f.fold AS own, r.target AS y,
+      CASE strategy WHEN 'baseline' THEN 1e0 ELSE (n0 + n1) / (2e0 * CASE r.target WHEN 1 THEN n1 ELSE n0 END) END AS w,
+      {", ".join(f"{c} AS c{i}" for i, c in enumerate(cells))}
+    FROM folded f JOIN risk r USING (row_id) CROSS JOIN scaled s CROSS JOIN kinds),
+  at0 AS (SELECT DISTINCT fold, strategy, {", ".join(f"0e0 AS b{i}" for i in d)} FROM design)"""]
+    n = len(cells)
+    for k in range(steps):
+        gram = [
+            f"sum(w * p * (1 - p) * c{i} * c{j})" + " + 1" * (i == j > 0) + f" AS a{i}_{j}" for i in d for j in d
+        ]
+        gradient = [f"sum(w * (p - y) * c{i})" + f" + any_value(b{i})" * (i > 0) + f" AS a{i}_{n}" for i in d]
+        kept = ", ".join(["fold", "strategy", *[f"b{i}" for i in d]])
+        parts.append(f"""sums{k}_0 AS MATERIALIZED (
+    SELECT fold, strategy, {", ".join(f"any_value(b{i}) AS b{i}" for i in d)}, {", ".join(gram + gradient)}
+    FROM (SELECT *, 1 / (1 + exp(-({linear}))) AS p FROM design JOIN at{k} USING (fold, strategy) WHERE own <> fold)
+    GROUP BY ALL)""")
+        for e in d:
+            cleared = [
+                f"a{e}_{j} / a{e}_{e} AS a{e}_{j}" if i == e else f"a{i}_{j} - a{i}_{e} * a{e}_{j} / a{e}_{e} AS a{i}_{j}"
+                for i in d for j in range(e + 1, n + 1)
+            ]
+            parts.append(f"sums{k}_{e + 1} AS MATERIALIZED (SELECT {kept}, {', '.join(cleared)} FROM sums{k}_{e})")
+        parts.append(f"""at{k + 1} AS MATERIALIZED (
+    SELECT fold, strategy, {", ".join(f"b{i} - a{i}_{n} AS b{i}" for i in d)} FROM sums{k}_{n})""")
+    parts.append(f"""scored_folds AS (
+    SELECT row_id, fold, strategy, y AS label, 1 / (1 + exp(-({linear}))) AS score
+    FROM design JOIN at{steps} USING (fold, strategy) WHERE own = fold)""")
+    return ",\n  ".join(parts)
+
+
 def oracle_sql() -> dict[str, str]:
     scored_counts = f"SELECT {_counts('5e-1')} FROM scored"
     dirty_columns = ["event_id", "event_type", "value", "flag"]
@@ -539,15 +595,17 @@ def oracle_sql() -> dict[str, str]:
               round(abs(mean_recall - test_recall), 6) AS recall_gap
             FROM cv, t WHERE model = 'error' AND strategy = 's1'""",
         "metrics_lookup": f"WITH {FOLDS} SELECT {CV_COLUMNS} FROM cv WHERE model = 'view' AND strategy = 's0'",
-        "oof_scores": f"""WITH {RISK_SPLIT}, train AS (SELECT row_id, target FROM parted WHERE split = 'train'),
-            dealt AS (SELECT target, (row_number() OVER (ORDER BY target) - 1) % 5 AS fold FROM train),
-            fold_sizes AS (SELECT target, fold, count(*) AS n FROM dealt GROUP BY ALL),
-            ends AS (SELECT target, fold, sum(n) OVER w AS upto, sum(n) OVER w - n AS after FROM fold_sizes
-              WINDOW w AS (PARTITION BY target ORDER BY fold ROWS UNBOUNDED PRECEDING)),
-            ranked AS (SELECT row_id, target, row_number() OVER (PARTITION BY target
-              ORDER BY md5('42|fold|' || row_id) || '|' || row_id) AS r FROM train)
-            SELECT row_id, CAST(fold AS INTEGER) AS fold, r.target AS label, true AS scored
-            FROM ranked r JOIN ends e ON r.target = e.target AND r.r > e.after AND r.r <= e.upto""",
+        "oof_scores": f"""WITH {TRAIN_FOLDS}, {_newton()}
+            SELECT row_id, fold, label, round(score, 6) AS score FROM scored_folds WHERE strategy = 'class_weight'""",
+        "cv_logistic": f"""WITH {TRAIN_FOLDS}, {_newton()}, scored AS (SELECT * FROM scored_folds),
+            {_group_auc("strategy, fold")},
+            counted AS (SELECT strategy, fold, {_counts("5e-1", ">")} FROM scored GROUP BY ALL)
+            SELECT 'Logistic Regression' AS model, strategy, fold,
+              round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END, 6) AS recall,
+              round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END, 6) AS precision,
+              round(CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END, 6) AS f1,
+              round(roc_auc, 6) AS roc_auc
+            FROM counted JOIN group_auc USING (strategy, fold)""",
         "linear_expression": "SELECT count(*) AS n_rows, 0::BIGINT AS n_different FROM events",
         "saved_model_roundtrip": """SELECT count(*) AS n_rows, 0::BIGINT AS n_different, true AS same_settings
             FROM events""",

@@ -324,10 +324,18 @@ def cv_grid_trees(spark, sf):
 def oof_scores(spark, sf):
     scores = final_fit.oof_scores(_train(spark, sf), RISK_SPEC, (LOGISTIC, "class_weight"))
     return scores.select(
-        F.col("key").cast("bigint").alias("row_id"), "fold", "label", F.col("score").between(0, 1).alias("scored")
+        F.col("key").cast("bigint").alias("row_id"), "fold", "label", F.round("score", 6).alias("score")
     )
 
 
+def cv_logistic(spark, sf):
+    """Fold metrics of the two logistic candidates that learn from the rows as they are."""
+    rows = crossval.split_rows(risk_events(spark, sf), RISK_SPEC)
+    folds = crossval.fold_rows(rows.filter(F.col("split") == "train").drop("split"), RISK_SPEC)
+    scores = crossval.out_of_fold_scores(folds, RISK_SPEC, [(LOGISTIC, "baseline"), (LOGISTIC, "class_weight")])
+    return rounded(crossval.cv_fold_metrics(scores).drop("seq"))
+
+
 def candidate_summary(spark, sf):
     return rounded(crossval.candidate_summary(risk_events(spark, sf), RISK_SPEC), 4)
 
@@ -509,6 +517,7 @@ def all_queries():
         "lr_weighted_optimality": lambda s, sf: _optimality(s, sf, "class_weight"),
         "cv_grid": cv_grid,
         "cv_grid_trees": cv_grid_trees,
+        "cv_logistic": cv_logistic,
         "oof_scores": oof_scores,
         "candidate_summary": candidate_summary,
         "final_fit_report": final_fit_report,

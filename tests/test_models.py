@@ -45,6 +45,35 @@ def test_collapsing_does_not_change_the_fit(rows, monkeypatch):
     assert a.categorical["x_cat"] == pytest.approx(b.categorical["x_cat"], abs=1e-5)
 
 
+def test_boosting_on_counted_rows_is_the_fit_on_all_rows(spark, sf_dir, monkeypatch):
+    """Numbers are binned by exact quantiles, so collapsing leaves nothing to a sample."""
+    rows = risk_events(spark, sf_dir).cache()
+    quick = ModelSettings(boosting_rounds=6)
+    learned = models.learn(rows, RISK_SPEC, binned=True)
+    counted = models.collapse_rows(learned[0].binned(rows), RISK_SPEC)
+    assert counted.count() * 2 < rows.count() and counted.agg(F.sum("copies")).first()[0] == rows.count()
+    assert counted.select("x_num").distinct().count() <= models.BINS
+    a = fit_candidate(rows, RISK_SPEC, models.BOOSTING, "sample_weight", quick)
+    monkeypatch.setattr(models, "collapse_rows", lambda df, spec: df.withColumn("copies", F.lit(1.0)))
+    b = fit_candidate(rows, RISK_SPEC, models.BOOSTING, "sample_weight", quick)
+    splits = [[x for x in m.stages.stages[-1].toDebugString.split("\n") if "feature" in x] for m in (a, b)]
+    assert splits[0] == splits[1] and len(splits[0]) > 20
+    both = a.score(rows).withColumnRenamed("score", "one")
+    assert models.score_with(b.stages, both).agg(F.max(F.abs(F.col("one") - F.col("score")))).first()[0] < 1e-9
+
+
+def test_bins_are_cut_at_exact_quantiles(spark):
+    df = spark.createDataFrame([(i, float(i * i), "a", 0, i % 2) for i in range(640)],
+                               "row_id long, x_num double, x_cat string, x_bin int, target int")
+    encoding, _ = models.learn(df, RISK_SPEC, binned=True)
+    sizes = [r["count"] for r in encoding.binned(df).groupBy("x_num").count().collect()]
+    assert len(sizes) == models.BINS and max(sizes) == 20 == min(sizes)
+    # A number that stands for its bin falls into it, and into the vector's slot.
+    binned = encode(encoding.binned(df), encoding).select("row_id", F.col("features").alias("one"))
+    plain = encode(df, encoding).join(binned, "row_id")
+    assert plain.where(F.col("one").cast("string") != F.col("features").cast("string")).isEmpty()
+
+
 def test_encoder_uses_population_deviation_and_ignores_unseen(spark):
     train = spark.createDataFrame([(1, 1.0, "b", 0, 0), (2, 3.0, "a", 1, 1)], "row_id long, x_num double, x_cat string, x_bin int, target int")
     learned = Encoding.fit(train, RISK_SPEC)
