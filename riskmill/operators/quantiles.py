@@ -1,136 +1,170 @@
-"""Exact linearly interpolated quantiles by narrowing value intervals.
+"""Exact linearly interpolated quantiles in three scans, whatever the number of rows and their spread.
 
-``percentile`` keeps every distinct value of a column in one task. Here each pass counts rows per
-equal slice of the interval known to hold a wanted rank and keeps the slice that holds it; only
-slice counts reach the driver, and rows are never shuffled or sorted. A slice of one value ends
-the search, so heavily repeated values cost nothing extra.
+``percentile`` keeps every distinct value of a column in one task. Here
+
+1. a sketch of every column, whose rank error is known, brackets each wanted rank between two values;
+2. every bracket is sketched again by itself, and its rows and those below are counted, which brackets the rank
+   within some millionths of the rows;
+3. rows are counted between these narrow intervals and listed, by value, inside them.
+
+The third scan counts the whole column, so it shows whether a wanted rank really lies in its interval. Should a
+sketch have erred, the part that holds the rank is searched the same way.
 """
 
 from __future__ import annotations
 
 import math
-import sys
-from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskmill.functions.scalars import q
 
-SLICES = 4096
-LIST_BELOW = 20_000
-# Infinite cells stand at the ends of the finite range during the search.
-LARGEST = sys.float_info.max
-
+#: A sketched rank is off by at most rows / ACCURACY; a bracket is cut at STEPS - 1 sketched places.
+ACCURACY, STEPS = 10_000, 64
+INF = math.inf
 
-@dataclass
-class _Search:
-    column: str
-    rank: int
-    lo: float
-    hi: float
-    rows: int
-    before: int = 0
 
+def _value(column: str) -> Column:
+    number = q(column).cast("double")
+    return F.when(~F.isnan(number), number)
 
-def _unpivot(df: DataFrame, columns) -> DataFrame:
-    def finite(c):
-        return F.greatest(F.least(q(c).cast("double"), F.lit(LARGEST)), F.lit(-LARGEST))
 
-    pairs = [
-        F.struct(F.lit(c).alias("column"), F.when(~F.isnan(q(c).cast("double")), finite(c)).alias("value"))
-        for c in columns
-    ]
-    return df.select(F.inline(F.array(*pairs))).filter("value is not null")
+def _sketch(value: Column, probs) -> Column:
+    listed = ", ".join(f"{min(max(p, 0.0), 1.0)!r}D" for p in probs)
+    return F.percentile_approx(value, F.expr(f"array({listed})"), ACCURACY)
 
 
-def _in_any(searches) -> F.Column:
-    hit = F.lit(False)
-    for s in searches:
-        hit = hit | ((F.col("column") == s.column) & F.col("value").between(s.lo, s.hi))
-    return hit
+def _between(value: Column, interval: tuple[float, float]) -> Column:
+    return (value >= F.lit(interval[0])) & (value <= F.lit(interval[1]))
 
 
-def _interval_id(intervals) -> F.Column:
-    expr = F.lit(None).cast("int")
-    for i, (column, lo, hi) in enumerate(intervals):
-        expr = F.when((F.col("column") == column) & F.col("value").between(lo, hi), i).otherwise(expr)
-    return expr
-
-
-def _slice(intervals) -> F.Column:
-    expr = F.lit(0)
-    for i, (_, lo, hi) in enumerate(intervals):
-        # Halved operands keep the width finite for any pair of finite doubles.
-        width = hi / 2 - lo / 2
-        if width > 0:
-            pos = (F.col("value") / 2 - F.lit(lo / 2)) / F.lit(width) * SLICES
-            part = F.least(F.floor(pos).cast("int"), F.lit(SLICES - 1))
+def _joined(intervals) -> list[tuple[float, float]]:
+    """The intervals in order, those that touch as one."""
+    out: list[tuple[float, float]] = []
+    for lo, hi in sorted(intervals):
+        if out and lo <= out[-1][1]:
+            out[-1] = (out[-1][0], max(hi, out[-1][1]))
         else:
-            part = (F.col("value") > F.lit(lo)).cast("int")
-        expr = F.when(F.col("interval") == i, part).otherwise(expr)
-    return expr
-
-
-def order_statistics(df: DataFrame, wanted: dict[str, set[int]], bounds: dict) -> dict:
-    """Value at each 0-based rank of each column; ``bounds`` gives (count, min, max) per column."""
+            out.append((lo, hi))
+    return out
+
+
+def _brackets(df: DataFrame, ranks: dict[str, list[int]], sizes: dict[str, int]) -> dict:
+    """First scan: two values around each rank of each column."""
+    margin = 2 / ACCURACY
+    probs = {c: [r / max(1, sizes[c] - 1) for r in own] for c, own in ranks.items()}
+    row = df.agg(*[
+        F.struct(_sketch(_value(c), [p - margin for p in own]).alias("lo"),
+                 _sketch(_value(c), [p + margin for p in own]).alias("hi")).alias(f"s{i}")
+        for i, (c, own) in enumerate(probs.items())
+    ]).first()
+    out = {}
+    for i, (c, own) in enumerate(probs.items()):
+        out[c] = [
+            (lo if p > margin else -INF, hi if p < 1 - margin else INF)
+            for p, lo, hi in zip(own, row[f"s{i}"]["lo"], row[f"s{i}"]["hi"], strict=True)
+        ]
+    return out
+
+
+def _narrowed(df: DataFrame, ranks: dict[str, list[int]], brackets: dict) -> dict:
+    """Second scan: for each rank an interval that a sketch of its bracket puts it in."""
+    grid = [k / STEPS for k in range(1, STEPS)]
+    # Brackets of neighbouring ranks overlap and are searched as one.
+    whole = {c: _joined(own) for c, own in brackets.items()}
+    places = [(c, interval) for c in ranks for interval in whole[c]]
+    row = df.agg(*[
+        F.struct(
+            F.count_if(_value(c) < F.lit(interval[0])).alias("below"), F.count_if(_between(_value(c), interval)).alias("n"),
+            _sketch(F.when(_between(_value(c), interval), _value(c)), grid).alias("grid"),
+        ).alias(f"p{i}")
+        for i, (c, interval) in enumerate(places)
+    ]).first()
+    told = {place: row[f"p{i}"] for i, place in enumerate(places)}
+    # The sketch's error on both sides, and a place more for rounding.
+    slack = 2 + math.ceil(2 * STEPS / ACCURACY)
+    out = {}
+    for c, own in ranks.items():
+        out[c] = []
+        for rank, bracket in zip(own, brackets[c], strict=True):
+            lo, hi = next(w for w in whole[c] if w[0] <= bracket[0] and bracket[1] <= w[1])
+            facts = told[c, (lo, hi)]
+            inside = rank - facts["below"]
+            if not 0 <= inside < facts["n"]:
+                # The first sketch was wrong. The counts at this border show where to go on.
+                out[c].append((lo, lo) if inside < 0 else (hi, hi))
+                continue
+            place = inside * STEPS // max(1, facts["n"])
+            first, last = place - slack, place + slack
+            out[c].append((facts["grid"][first - 1] if first >= 1 else lo, facts["grid"][last - 1] if last < STEPS else hi))
+    return out
+
+
+def _listed(df: DataFrame, intervals: dict) -> dict[str, list[tuple]]:
+    """Third scan: per column, in order, (lowest value, highest value, rows); single values inside the intervals.
+
+    Some millionths of the rows per interval reach the driver, and as many counts as there are gaps between them.
+    """
+    def cell(i: int, value: Column, own) -> Column:
+        starts, ends = (F.lit(list(side)).cast("array<double>") for side in zip(*own, strict=True))
+        gap = F.size(F.filter(starts, lambda s: s <= value))
+        inside = F.coalesce(value <= F.get(ends, gap - 1), F.lit(False))
+        return F.when(value.isNotNull(), F.struct(
+            F.lit(i).alias("i"), gap.alias("gap"), F.when(inside, value).alias("value"), value.alias("seen")
+        ))
+
+    cells = [cell(i, _value(c), own) for i, (c, own) in enumerate(intervals.items())]
+    long = df.select(F.inline(F.array_compact(F.array(*cells))))
+    counted = long.groupBy("i", "gap", "value").agg(
+        F.min("seen").alias("lo"), F.max("seen").alias("hi"), F.count("*").alias("n")
+    )
+    names, out = list(intervals), {c: [] for c in intervals}
+    for r in counted.collect():
+        out[names[r["i"]]].append((r["lo"], r["hi"], r["n"], r["value"] is not None))
+    return {c: sorted(parts, key=lambda p: (p[0], p[1])) for c, parts in out.items()}
+
+
+def order_statistics(df: DataFrame, wanted: dict[str, set[int]], sizes: dict[str, int]) -> dict:
+    """Value at each 0-based rank of each column; ``sizes`` gives the number of values per column."""
     found: dict[tuple[str, int], float] = {}
-    active: list[_Search] = []
-    for column, ranks in wanted.items():
-        n, lo, hi = bounds[column]
-        lo, hi = (min(max(float(x), -LARGEST), LARGEST) for x in (lo, hi))
-        active += [_Search(column, r, lo, hi, n) for r in sorted(ranks)]
-    while active:
-        for s in [s for s in active if s.lo == s.hi]:
-            found[s.column, s.rank] = s.lo
-        active = [s for s in active if s.lo < s.hi]
-        if not active:
-            break
-        long = _unpivot(df, sorted({s.column for s in active})).filter(_in_any(active))
-        intervals = sorted({(s.column, s.lo, s.hi) for s in active})
-        tagged = long.withColumn("interval", _interval_id(intervals))
-        listing = all(s.rows <= LIST_BELOW for s in active)
-        if listing:
-            grouped = tagged.groupBy("interval", "value").agg(F.count("*").alias("n")).select(
-                "interval", F.col("value").alias("lo"), F.col("value").alias("hi"), "n"
-            )
-        else:
-            grouped = tagged.groupBy("interval", _slice(intervals).alias("part")).agg(
-                F.min("value").alias("lo"), F.max("value").alias("hi"), F.count("*").alias("n")
-            ).drop("part")
-        slices: dict[int, list] = {}
-        # At most SLICES (or LIST_BELOW) rows per searched interval.
-        for row in grouped.collect():
-            slices.setdefault(row["interval"], []).append((row["lo"], row["hi"], row["n"]))
-        index = {key: i for i, key in enumerate(intervals)}
-        for s in active:
-            before = s.before
-            for lo, hi, n in sorted(slices[index[s.column, s.lo, s.hi]]):
-                if s.rank < before + n:
-                    s.lo, s.hi, s.rows, s.before = lo, hi, n, before
-                    break
-                before += n
+    ranks = {c: sorted(own) for c, own in wanted.items() if own}
+    brackets = _brackets(df, ranks, sizes) if ranks else {}
+    while ranks:
+        narrow = _narrowed(df, ranks, brackets)
+        parts = _listed(df, {c: _joined(own) for c, own in narrow.items()})
+        left: dict[str, list[int]] = {}
+        after: dict[str, list[tuple[float, float]]] = {}
+        for c, own in ranks.items():
+            for rank in own:
+                before = 0
+                for lo, hi, n, single in parts[c]:
+                    if rank < before + n:
+                        break
+                    before += n
+                if single or lo == hi:
+                    found[c, rank] = lo
+                else:
+                    left.setdefault(c, []).append(rank)
+                    after.setdefault(c, []).append((lo, hi))
+        ranks, brackets = left, after
     return found
 
 
-def _restored(value: float) -> float:
-    return math.copysign(math.inf, value) if abs(value) == LARGEST else value
-
-
 def exact_quantiles(df: DataFrame, columns, probs, bounds: dict | None = None) -> dict:
-    """``{column: [quantile per prob]}``; None for a column without values."""
+    """``{column: [quantile per prob]}``; None for a column without values.
+
+    ``bounds`` may pass in what is known: the number of values, or a tuple that begins with it, per column.
+    """
     columns = list(columns)
     if bounds is None:
-        row = df.agg(*[
-            F.struct(F.count(v).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi")).alias(f"s{i}")
-            for i, v in enumerate(F.when(~F.isnan(q(c).cast("double")), q(c).cast("double")) for c in columns)
-        ]).first()
-        bounds = {c: tuple(row[f"s{i}"]) for i, c in enumerate(columns)}
-    places = {
-        c: [(bounds[c][0] - 1) * p for p in probs] for c in columns if bounds[c][0]
-    }
+        row = df.agg(*[F.count(_value(c)).alias(f"n{i}") for i, c in enumerate(columns)]).first()
+        sizes = {c: row[f"n{i}"] for i, c in enumerate(columns)}
+    else:
+        sizes = {c: bounds[c][0] if isinstance(bounds[c], tuple) else bounds[c] for c in columns}
+    places = {c: [(sizes[c] - 1) * p for p in probs] for c in columns if sizes[c]}
     wanted = {c: {f(x) for x in pos for f in (math.floor, math.ceil)} for c, pos in places.items()}
-    found = order_statistics(df, wanted, bounds)
+    found = order_statistics(df, wanted, sizes)
     result = {}
     for c in columns:
         if c not in places:
@@ -138,7 +172,7 @@ def exact_quantiles(df: DataFrame, columns, probs, bounds: dict | None = None) -
             continue
         values = []
         for x in places[c]:
-            lo, hi = (_restored(found[c, f(x)]) for f in (math.floor, math.ceil))
+            lo, hi = (found[c, f(x)] for f in (math.floor, math.ceil))
             values.append(lo if lo == hi else lo + (hi - lo) * (x - math.floor(x)))
         result[c] = values
     return result

@@ -19,7 +19,7 @@ from riskmill.operators.split import stratified_kfold, stratified_split
 from riskmill.session import materialize, new_folder
 from riskmill.spec import FeatureSpec
 
-PARALLEL_FITS = 4
+PARALLEL_FITS = 8
 SCORED = "model string, strategy string, seq int, fold int, key string, label int, score double"
 
 
