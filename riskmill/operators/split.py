@@ -1,8 +1,11 @@
 """Exact stratified splits as a handful of cut keys.
 
 Rows are ordered inside each class by a seeded digest of their key. A split is then a set of cut
-keys per class: fitting finds the keys at the wanted ranks from counts per digest prefix (narrow
-scans, tiny shuffles), and applying compares every row with the cuts, without moving any row.
+keys per class. Digests are uniform, so where the key of a wanted rank lies can be calculated: at
+rank / rows of the digests, give or take six deviations. Fitting takes three scans, whatever the
+number of rows and classes: class sizes, counts on a grid over these stretches and between them,
+and the keys of the grid cells that hold the ranks. Applying compares every row with the cuts of its
+class, without moving any row.
 """
 
 from __future__ import annotations
@@ -16,10 +19,10 @@ from pyspark.sql import functions as F
 from riskmill.functions.hashing import order_key
 from riskmill.functions.scalars import add_all, one_row, percent, q, safe_div
 
-PREFIX_STEP = 3
-LIST_BELOW = 5_000
-#: Classes a target may have, and prefixes searched in one scan: bounds what a scan hands to the driver.
-MAX_CLASSES = 100
+#: Hex digits of a digest that count as its position; grid cells that all stretches share.
+DIGITS = 13
+SPAN = 16**DIGITS
+CELLS = 65_536
 
 
 @dataclass(frozen=True)
@@ -33,96 +36,107 @@ class SplitPlan:
     cuts: dict
 
     def apply(self, df: DataFrame, out: str) -> DataFrame:
-        """Adds the part of every row; the order key is computed once per row."""
+        """Adds the part of every row; the order key is computed once per row, and no row is moved."""
         rank_key = F.col("__rank_key")
-        part = F.lit(None).cast("int")
+        part = F.when(F.lit(False), F.lit(0))
         for label, keys in self.cuts.items():
             index = add_all([(rank_key > F.lit(k)).cast("int") for k in keys]) if keys else F.lit(0)
-            part = F.when(q(self.target) == F.lit(label), index).otherwise(part)
+            part = part.when(q(self.target) == F.lit(label), index)
         keyed = df.withColumn("__rank_key", order_key(self.seed, self.salt, q(self.key)))
         return keyed.withColumn(out, part).drop("__rank_key")
 
 
-def _prefix_counts(keyed: DataFrame, length: int) -> dict:
-    """Rows per class and digest prefix; at most 16**PREFIX_STEP prefixes per searched one."""
-    out: dict = {}
-    grouped = keyed.groupBy("label", F.substring("rank_key", 1, length).alias("prefix")).agg(F.count("*").alias("n"))
-    for row in grouped.limit(MAX_CLASSES * 16**PREFIX_STEP + 1).collect():
-        out.setdefault(row["label"], {})[row["prefix"]] = row["n"]
-    if len(out) > MAX_CLASSES:
-        raise ValueError(f"the target has more than {MAX_CLASSES} classes")
+def _stretches(ranks: dict, totals: dict) -> dict:
+    """Per class the disjoint parts [lo, hi) of the digest positions that hold the wanted ranks, in order."""
+    out = {}
+    for label, own in ranks.items():
+        n, merged = totals[label], []
+        for rank in sorted(own):
+            share = rank / n
+            # Six deviations, and some rows more where few rows make the normal law a poor guide.
+            margin = 6 * math.sqrt(share * (1 - share) / n) + 40 / n
+            lo, hi = (min(max(int(x * SPAN), 0), SPAN) for x in (share - margin, share + margin))
+            if merged and lo <= merged[-1][1]:
+                merged[-1][1] = max(hi, merged[-1][1])
+            else:
+                merged.append([lo, hi])
+        out[label] = merged
     return out
 
 
-def _advance(open_cuts: dict, batch: list, counts: dict) -> dict:
-    """Moves each cut of ``batch`` into the longer prefix that holds its rank; returns the rows in there."""
-    sizes = {}
-    for cut in batch:
-        prefix, rank = open_cuts[cut]
-        for child in sorted(c for c in counts[cut[0]] if c.startswith(prefix)):
-            n = counts[cut[0]][child]
-            if rank <= n:
-                break
-            rank -= n
-        open_cuts[cut] = (child, rank)
-        sizes[cut] = n
-    return sizes
-
-
-def _searched(keyed: DataFrame, open_cuts: dict, length: int):
-    """(cuts, rows that share their prefixes), for at most MAX_CLASSES prefixes at a time."""
-    by_prefix: dict = {}
-    for cut, (prefix, _) in open_cuts.items():
-        by_prefix.setdefault((cut[0], prefix), []).append(cut)
-    places = list(by_prefix)
-    for start in range(0, len(places), MAX_CLASSES):
-        some = places[start : start + MAX_CLASSES]
-        here = F.lit(False)
-        for label in dict.fromkeys(p[0] for p in some):
-            prefixes = [p[1] for p in some if p[0] == label]
-            here = here | ((F.col("label") == F.lit(label)) & F.substring("rank_key", 1, length).isin(prefixes))
-        yield [cut for place in some for cut in by_prefix[place]], keyed.filter(here)
+def _placed(keyed: DataFrame, stretches: dict, cells: int) -> DataFrame:
+    """Rows of the classes searched with ``gap`` (2 i + 1 in the i-th stretch, even numbers between) and grid ``cell``."""
+    spark, kind = keyed.sparkSession, keyed.schema["label"].dataType.simpleString()
+    rows = [(label, [x for s in own for x in s]) for label, own in stretches.items()]
+    borders = spark.createDataFrame(rows, f"label {kind}, borders array<bigint>")
+    position = F.conv(F.substring("rank_key", 1, DIGITS), 16, 10).cast("bigint")
+    placed = keyed.join(F.broadcast(borders), "label").withColumn("position", position)
+    gap = F.size(F.filter("borders", lambda b: b <= F.col("position")))
+    lo, hi = F.get("borders", F.col("gap") - 1), F.get("borders", F.col("gap"))
+    # Cells as wide as a stretch needs; a position's offset in its stretch is below 2^52.
+    cell = F.floor((F.col("position") - lo) / F.greatest(F.ceil((hi - lo) / F.lit(cells)), F.lit(1)))
+    return placed.withColumn("gap", gap).withColumn("cell", F.when(F.col("gap") % 2 == 1, cell).otherwise(F.lit(0)))
 
 
 def fit_cuts(df: DataFrame, target: str, key: str, ranks_for, seed: int, salt: str) -> SplitPlan:
-    """Finds the keys at the 1-based ranks ``ranks_for(class_counts)[label]`` of each class.
-
-    The number of cuts is not limited: beyond MAX_CLASSES searched prefixes a round takes several scans.
-    """
+    """Finds the keys at the 1-based ranks ``ranks_for(class_counts)[label]`` of each class."""
     keyed = df.filter(q(target).isNotNull()).select(
         q(target).alias("label"), order_key(seed, salt, q(key)).alias("rank_key")
     )
-    length = PREFIX_STEP
-    counts = _prefix_counts(keyed, length)
-    totals = {label: sum(c.values()) for label, c in sorted(counts.items())}
+    # A row per class.
+    totals = {r["label"]: r["count"] for r in keyed.groupBy("label").count().orderBy("label").collect()}
     wanted = ranks_for(totals)
-    ranked = {(label, i): rank for label, ranks in wanted.items() for i, rank in enumerate(ranks)}
-    found: dict = {cut: "" for cut, rank in ranked.items() if rank <= 0}
-    # (label, position of the cut) -> (prefix, rank inside the prefix)
-    open_cuts = {cut: ("", rank) for cut, rank in ranked.items() if rank > 0}
-    sizes = _advance(open_cuts, list(open_cuts), counts)
-    while length < 32 and max(sizes.values(), default=0) > LIST_BELOW:
-        sizes, longer = {}, length + PREFIX_STEP
-        for batch, near in list(_searched(keyed, open_cuts, length)):
-            sizes |= _advance(open_cuts, batch, _prefix_counts(near, longer))
-        length = longer
-    for batch, near in _searched(keyed, open_cuts, length):
-        listed: dict = {}
-        for row in near.groupBy("label", "rank_key").agg(F.count("*").alias("n")).collect():
-            listed.setdefault(row["label"], []).append((row["rank_key"], row["n"]))
-        for cut in batch:
-            prefix, rank = open_cuts[cut]
-            for rank_key, n in sorted(k for k in listed[cut[0]] if k[0].startswith(prefix)):
+    found = {(label, i): "" for label, ranks in wanted.items() for i, rank in enumerate(ranks) if rank <= 0}
+    left = {(label, i): rank for label, ranks in wanted.items() for i, rank in enumerate(ranks) if rank > 0}
+    stretches = _stretches({label: [r for r in ranks if r > 0] for label, ranks in wanted.items() if max(ranks, default=0) > 0}, totals)
+    while left:
+        cells = max(16, CELLS // max(1, sum(map(len, stretches.values()))))
+        placed = _placed(keyed, stretches, cells)
+        # At most CELLS counts (16 for each stretch beyond), and one for every gap between stretches.
+        counts: dict = {}
+        for r in placed.groupBy("label", "gap", "cell").count().collect():
+            counts.setdefault(r["label"], []).append((r["gap"], r["cell"], r["count"]))
+        at, again = {}, {}
+        for (label, i), rank in left.items():
+            for gap, cell, n in sorted(counts[label]):
                 if rank <= n:
                     break
                 rank -= n
-            if rank != n:
-                raise ValueError(f"{key} is not unique: {rank_key.split('|', 1)[1]} appears {n} times")
-            found[cut] = rank_key
+            if gap % 2:
+                at[label, i] = (gap, cell, rank)
+            else:
+                # Outside its stretch, once in a billion: the gap is searched next.
+                ends = [0, *[x for s in stretches[label] for x in s], SPAN]
+                again.setdefault(label, []).append([ends[gap], ends[gap + 1]])
+        if at:
+            found |= _keys_at(placed, at, key)
+        left = {cut: rank for cut, rank in left.items() if cut not in at}
+        stretches = {label: [list(x) for x in sorted(set(map(tuple, own)))] for label, own in again.items()}
     cuts = {label: tuple(found[label, i] for i in range(len(r))) for label, r in wanted.items()}
     return SplitPlan(target, key, seed, salt, cuts)
 
 
+def _keys_at(placed: DataFrame, at: dict, key: str) -> dict:
+    """The key at each (gap, cell, rank inside the cell): cells hold a millionth part of the deviation's rows."""
+    spark, kind = placed.sparkSession, placed.schema["label"].dataType.simpleString()
+    cells = sorted({(label, gap, cell) for (label, _), (gap, cell, _) in at.items()}, key=repr)
+    chosen = spark.createDataFrame(cells, f"label {kind}, gap int, cell bigint")
+    rows = placed.join(F.broadcast(chosen), ["label", "gap", "cell"]).groupBy("label", "gap", "cell", "rank_key").count()
+    listed: dict = {}
+    for r in rows.collect():
+        listed.setdefault((r["label"], r["gap"], r["cell"]), []).append((r["rank_key"], r["count"]))
+    found = {}
+    for (label, i), (gap, cell, rank) in at.items():
+        for rank_key, n in sorted(listed[label, gap, cell]):
+            if rank <= n:
+                break
+            rank -= n
+        if rank != n:
+            raise ValueError(f"{key} is not unique: {rank_key.split('|', 1)[1]} appears {n} times")
+        found[label, i] = rank_key
+    return found
+
+
 def class_quotas(totals: dict, draws: int) -> dict:
     """Shares ``draws`` among the classes in proportion, the largest remainders rounded up."""
     n = sum(totals.values())

@@ -1,3 +1,5 @@
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -31,31 +33,42 @@ def test_split_counts_and_partitioning(spark):
     assert not first.exceptAll(other).isEmpty()
 
 
-def test_many_rounds_find_the_same_cuts(spark, monkeypatch):
-    df = table(spark, 3000, 200)
-    want = split.fit_kfold(df, "y", "k")
-    monkeypatch.setattr(split, "PREFIX_STEP", 1)
-    monkeypatch.setattr(split, "LIST_BELOW", 2)
-    assert split.fit_kfold(df, "y", "k").cuts == want.cuts
+def by_sorting(rows, ranks):
+    """The keys at 1-based ranks of a class, by sorting digests in plain Python."""
+    order = sorted(f"{hashlib.md5(f'42|fold|{k}'.encode()).hexdigest()}|{k}" for k in rows)
+    return tuple(order[r - 1] for r in ranks)
 
 
-@pytest.mark.parametrize(("classes", "folds"), [(26, 5), (2, 60)])
-def test_many_cuts_are_searched_in_several_scans(spark, monkeypatch, classes, folds):
+@pytest.mark.parametrize(("classes", "folds"), [(2, 5), (26, 5), (2, 60), (300, 3)])
+def test_cuts_are_the_keys_at_their_ranks(spark, monkeypatch, classes, folds):
     df = spark.range(5200).select(F.col("id").alias("k"), (F.col("id") % classes).cast("int").alias("y"))
-    want = split.fit_kfold(df, "y", "k", folds)
-    monkeypatch.setattr(split, "PREFIX_STEP", 1)
-    monkeypatch.setattr(split, "LIST_BELOW", 2)
-    monkeypatch.setattr(split, "MAX_CLASSES", 30)
-    assert split.fit_kfold(df, "y", "k", folds).cuts == want.cuts
-    sizes = want.apply(df, "fold").groupBy("y", "fold").count()
+    totals = {c: len(range(c, 5200, classes)) for c in range(classes)}
+    want = {c: by_sorting(range(c, 5200, classes), r) for c, r in split.fold_ranks(totals, folds).items()}
+    plan = split.fit_kfold(df, "y", "k", folds)
+    assert plan.cuts == want
+    sizes = plan.apply(df, "fold").groupBy("y", "fold").count()
     spread = sizes.groupBy("y").agg(F.max("count").alias("high"), F.min("count").alias("low"), F.count("*").alias("n"))
     assert spread.where(f"high - low > 1 OR n <> {folds}").isEmpty()
+    # Coarse grids leave more keys to the last scan.
+    monkeypatch.setattr(split, "CELLS", 1)
+    assert split.fit_kfold(df, "y", "k", folds).cuts == want
+
 
+def test_three_scans(spark, monkeypatch):
+    df = table(spark, 20_000, 900)
+    frame, seen = type(df), []
+    real = frame.collect
+    monkeypatch.setattr(frame, "collect", lambda self: seen.append(1) or real(self))
+    split.fit_kfold(df, "y", "k")
+    assert len(seen) == 3
 
-def test_too_many_classes_are_refused(spark):
-    df = spark.range(300).select(F.col("id").alias("k"), (F.col("id") % 101).cast("int").alias("y"))
-    with pytest.raises(ValueError, match="more than 100 classes"):
-        split.fit_kfold(df, "y", "k", 2)
+
+def test_a_rank_outside_its_stretch_is_found_all_the_same(spark, monkeypatch):
+    df = table(spark, 3000, 200)
+    want = split.fit_kfold(df, "y", "k").cuts
+    for wrong in ([0, 5], [split.SPAN - 9, split.SPAN], [split.SPAN // 2, split.SPAN // 2 + 1000]):
+        monkeypatch.setattr(split, "_stretches", lambda ranks, totals, wrong=wrong: {c: [list(wrong)] for c in ranks})
+        assert split.fit_kfold(df, "y", "k").cuts == want
 
 
 def test_split_applies_without_a_shuffle(spark):
