@@ -77,10 +77,12 @@ def threshold_sweep(
     return with_rates(counts)
 
 
-def score_totals(df: DataFrame, by: tuple[str, ...] = (), label: str = "label", score: str = "score") -> DataFrame:
+def score_totals(
+    df: DataFrame, by: tuple[str, ...] = (), label: str = "label", score: str = "score", ahead: bool = False
+) -> DataFrame:
     """Positives and negatives at and above every distinct score."""
     positive = (F.col(label) == 1).cast("bigint")
-    return running_totals(df, score, {"pos": positive, "neg": F.lit(1).cast("bigint") - positive}, by)
+    return running_totals(df, score, {"pos": positive, "neg": F.lit(1).cast("bigint") - positive}, by, ahead)
 
 
 def _summary(df: DataFrame, by: tuple[str, ...], label: str, score: str, hits: dict[str, Column]) -> DataFrame:
@@ -142,9 +144,9 @@ def roc_points(df: DataFrame, thin: bool = False, label: str = "label", score: s
     ``thin`` leaves out the inner points of vertical and horizontal runs, which do not change the
     curve.
     """
-    totals = score_totals(df, (), label, score)
+    totals = score_totals(df, (), label, score, ahead=thin)
     if thin:
-        totals = _corners(totals)
+        totals = totals.filter(~_inside_run())
     points = totals.select(
         F.col(score).alias("threshold"),
         safe_div(F.col("cum_neg"), F.col("all_neg")).alias("fpr"),
@@ -156,17 +158,16 @@ def roc_points(df: DataFrame, thin: bool = False, label: str = "label", score: s
     return start.unionByName(points)
 
 
-def _corners(totals: DataFrame) -> DataFrame:
-    """Leaves out the points strictly inside a vertical or horizontal run of the curve.
+def _inside_run() -> Column:
+    """Whether a point lies strictly inside a vertical or horizontal run of the curve.
 
-    Points of a vertical run share their negatives, points of a horizontal one their positives.
+    The step to a point and the step from it tell: both without negatives (vertical) or both without
+    positives. So a run of any length is judged point by point, without gathering it. The first
+    point of the curve and the last one always stay.
     """
-    kept = totals
-    for shared, moving in (("cum_neg", "cum_pos"), ("cum_pos", "cum_neg")):
-        runs = totals.groupBy(shared).agg(F.min(moving).alias("first"), F.max(moving).alias("last"))
-        inside = (F.col(moving) > F.col("first")) & (F.col(moving) < F.col("last"))
-        kept = kept.join(runs, shared).filter(~inside).drop("first", "last")
-    return kept
+    first = (F.col("cum_pos") == F.col("pos")) & (F.col("cum_neg") == F.col("neg"))
+    straight = [(F.col(n) == 0) & (F.col(f"next_{n}") == 0) for n in ("neg", "pos")]
+    return ~first & F.coalesce(straight[0] | straight[1], F.lit(False))
 
 
 def pr_points(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:

@@ -558,6 +558,13 @@ def oracle_sql() -> dict[str, str]:
             round(average_precision, 6) AS average_precision FROM group_auc""",
         "roc_points": f"""WITH {SCORED}, {ABOVE} SELECT score AS threshold, round(cum_neg / all_neg, 6) AS fpr,
             round(cum_pos / all_pos, 6) AS tpr FROM totals UNION ALL SELECT 'Infinity'::DOUBLE, 0, 0""",
+        "roc_points_thin": f"""WITH {RISK}, scored AS (SELECT target AS label, x_num AS score FROM risk), {ABOVE},
+            runs AS (SELECT *, min(cum_pos) OVER v AS low_pos, max(cum_pos) OVER v AS high_pos,
+                min(cum_neg) OVER h AS low_neg, max(cum_neg) OVER h AS high_neg
+              FROM totals WINDOW v AS (PARTITION BY cum_neg), h AS (PARTITION BY cum_pos))
+            SELECT score AS threshold, round(cum_neg / all_neg, 6) AS fpr, round(cum_pos / all_pos, 6) AS tpr FROM runs
+            WHERE NOT (cum_pos > low_pos AND cum_pos < high_pos) AND NOT (cum_neg > low_neg AND cum_neg < high_neg)
+            UNION ALL SELECT 'Infinity'::DOUBLE, 0, 0""",
         "pr_points": f"""WITH {SCORED}, {ABOVE} SELECT score AS threshold, round(cum_pos / all_pos, 6) AS recall,
             round(cum_pos / (cum_pos + cum_neg), 6) AS precision FROM totals UNION ALL SELECT NULL, 0, 1""",
         "threshold_sweep": f"WITH {SWEEP} SELECT * FROM sweep",

@@ -268,6 +268,12 @@ def decisions(spark, sf):
     )
 
 
+def roc_points_thin(spark, sf):
+    """A rare label ordered by a fine score: most points lie inside long horizontal runs."""
+    scored = risk_events(spark, sf).select(F.col("target").alias("label"), F.col("x_num").alias("score"))
+    return rounded(metrics.roc_points(scored, thin=True))
+
+
 def metric_compare(spark, sf):
     scored = _scored(spark, sf)
     proposed = choose.choose_threshold(metrics.threshold_sweep(scored)).first()["threshold"]
@@ -506,6 +512,7 @@ def all_queries():
         "confusion_by_fold": confusion_by_fold,
         "decisions": decisions,
         "metric_compare": metric_compare,
+        "roc_points_thin": roc_points_thin,
         "evaluation_report": evaluation_report,
         "fold_metrics": lambda s, sf: rounded(_fold_metrics(s, sf)),
         "cv_summary": lambda s, sf: rounded(_cv_summary(s, sf)),

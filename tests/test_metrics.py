@@ -72,11 +72,57 @@ def test_published_threshold_choice(spark):
     assert choose.choose_threshold(sweep, floor=0.99).first()["threshold"] == 0.1
 
 
-def test_many_ranges_give_the_same_curve(scored, monkeypatch):
-    want = metrics.score_totals(scored).collect()
-    monkeypatch.setattr(prefix, "ROWS_PER_RANGE", 40)
-    assert len(prefix.value_cuts(scored, "score")) > 20
-    assert sorted(metrics.score_totals(scored).collect()) == sorted(want)
+@pytest.fixture
+def many_ranges(spark):
+    """Ranges are partitions, so many small partitions make many ranges."""
+    settings = {"spark.sql.shuffle.partitions": "25", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+
+    def switch(on=True):
+        for k, v in (settings if on else before).items():
+            spark.conf.set(k, v)
+
+    yield switch
+    switch(False)
+
+
+def test_many_ranges_give_the_same_curve(scored, many_ranges, monkeypatch):
+    want = metrics.score_totals(scored, ahead=True).collect()
+    many_ranges()
+    written = []
+    real = prefix.materialize
+    monkeypatch.setattr(prefix, "materialize", lambda *a: written.append(real(*a)) or written[-1])
+    assert sorted(metrics.score_totals(scored, ahead=True).collect(), key=repr) == sorted(want, key=repr)
+    assert written[0].select("value_range").distinct().count() > 20
+
+
+def test_the_rows_are_computed_once(spark, many_ranges):
+    seen = spark.sparkContext.accumulator(0)
+
+    def see(score):
+        seen.add(1)
+        return score
+
+    # Else the optimiser may compute it in a filter and again in a projection of the same pass.
+    counted = F.udf(see, "double").asNondeterministic()
+    rows = spark.range(2000).select((F.col("id") % 3 == 0).cast("int").alias("label"), (F.col("id") % 701).cast("double").alias("s"))
+    many_ranges()
+    metrics.ranking_metrics(rows.select("label", counted("s").alias("score"))).collect()
+    assert seen.value == 2000
+
+
+def test_thin_curve_with_a_run_over_many_ranges(spark, many_ranges):
+    """Positives first, then half of the rows without any: one horizontal run, cut by many borders."""
+    rows = [(int(i < 500 and i % 3 > 0 or i in (1700, 1702)), -float(i)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "label int, score double").repartition(6)
+    many_ranges()
+    points = sorted((r["fpr"], r["tpr"]) for r in metrics.roc_points(df).collect())
+    # By hand: points where the direction changes, the first one and the last one.
+    kept = [points[0], points[1]] + [
+        b for a, b, c in zip(points[1:], points[2:], points[3:], strict=False)
+        if not (a[0] == b[0] == c[0] or a[1] == b[1] == c[1])
+    ] + [points[-1]]
+    assert sorted((r["fpr"], r["tpr"]) for r in metrics.roc_points(df, thin=True).collect()) == kept
 
 
 def test_auc_of_reversed_scores(scored):
@@ -119,10 +165,10 @@ def test_default_equal_to_alternative(scored):
     assert {r["delta"] for r in metrics.metric_compare(scored, 0.5).collect()} == {0.0}
 
 
-def test_groups_over_many_ranges(scored, monkeypatch):
+def test_groups_over_many_ranges(scored, many_ranges):
     grouped = scored.withColumn("g", F.when(F.col("k") % 9 == 0, "small").otherwise("large"))
     want = {r["g"]: r.asDict() for r in metrics.all_metrics(grouped, 0.3, ("g",)).collect()}
-    monkeypatch.setattr(prefix, "ROWS_PER_RANGE", 70)
+    many_ranges()
     got = {r["g"]: r.asDict() for r in metrics.all_metrics(grouped, 0.3, ("g",)).collect()}
     assert set(got) == {"small", "large"}
     for g in got:
