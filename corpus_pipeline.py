@@ -5,7 +5,7 @@ Near duplicates are judged on what the earlier stages kept, packing on what rema
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskmill.llm import exact_dedup, minhash, packing, quality, toxicity
@@ -14,22 +14,31 @@ from riskmill.llm.shared import table
 from riskmill.session import materialize
 
 
+def _row_key(docs: DataFrame) -> Column:
+    """A number for identifier and text together, so that a verdict reaches its own row, whatever its identifier."""
+    return F.xxhash64(docs["doc_id"], F.coalesce(docs["text"], F.lit("")))
+
+
 def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """``docs`` without rejected identifiers. Rows without one can't be named and stay."""
+    """``docs`` without the rows whose keys are the ``doc_id`` of ``rejected``."""
     gone = rejected.select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    return docs.join(gone, _row_key(docs) == gone["_gone"], "left_anti")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(_row_key(docs).alias("doc_id"), docs["text"])
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the quality classifier predicts as 0."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return _without(docs, materialize(quality.score(docs, model), "quality").where("predicted = 0"))
+    return _without(docs, materialize(quality.score(_keyed(docs), model), "quality").where("predicted = 0"))
 
 
 def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the severity model calls toxic."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return _without(docs, materialize(toxicity.score(docs, model), "toxicity").where("toxic = 1"))
+    return _without(docs, materialize(toxicity.score(_keyed(docs), model), "toxicity").where("toxic = 1"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
