@@ -119,19 +119,14 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def drop_duplicates(docs: DataFrame) -> DataFrame:
     """One row of every group of equal texts, with all its columns (the smallest doc_id).
 
-    Of rows that agree in identifier and text one stays; rows without an identifier are told apart by their text.
+    A row stays if its identifier and text are those kept; of rows that agree in both, one stays. Rows without an
+    identifier are told apart by their text. Columns of any name come back as they were.
     """
-    found = exact_duplicates(docs)
-    kept = found.where("kept")
-    ids = kept.select(F.col("doc_id").alias("_keep"), F.col("text_sha256").alias("_sha")).where("_keep IS NOT NULL")
-    named = docs.join(ids, docs["doc_id"] == ids["_keep"], "left_semi")
-    if not found.where("NOT kept AND doc_id <=> keep_id").isEmpty():
-        digest = F.sha2(F.encode(normalised(docs["text"]), "utf-8"), 256)
-        named = docs.withColumn("_text", digest).dropDuplicates(["doc_id", "_text"])
-        named = named.join(ids, (F.col("doc_id") == ids["_keep"]) & (F.col("_text") == ids["_sha"]), "left_semi")
-        named = named.drop("_text")
-    if found.where("doc_id IS NULL").isEmpty():
-        return named
-    nameless = docs.where("doc_id IS NULL").withColumn("_text", F.sha2(F.encode(normalised(docs["text"]), "utf-8"), 256))
-    shas = kept.where("doc_id IS NULL").select(F.col("text_sha256").alias("_text")).distinct()
-    return named.unionByName(nameless.dropDuplicates(["_text"]).join(shas, "_text", "left_semi").drop("_text"))
+    taken = {c.lower() for c in docs.columns}
+    sha, keep, same, nth = (next(f"{n}{i}" for i in range(len(taken) + 1) if f"{n}{i}" not in taken)
+                            for n in ("_sha", "_keep", "_same", "_nth"))
+    kept = exact_duplicates(docs).where("kept").select(F.col("doc_id").alias(keep), F.col("text_sha256").alias(same))
+    keyed = docs.withColumn(sha, F.sha2(F.encode(normalised(docs["text"]), "utf-8"), 256))
+    stays = keyed.join(kept, F.col("doc_id").eqNullSafe(F.col(keep)) & (F.col(sha) == F.col(same)), "left_semi")
+    once = Window.partitionBy("doc_id", sha).orderBy(sha)
+    return stays.withColumn(nth, F.row_number().over(once)).where(F.col(nth) == 1).drop(sha, nth)
