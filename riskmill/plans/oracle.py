@@ -558,6 +558,8 @@ def oracle_sql() -> dict[str, str]:
             round(average_precision, 6) AS average_precision FROM group_auc""",
         "roc_points": f"""WITH {SCORED}, {ABOVE} SELECT score AS threshold, round(cum_neg / all_neg, 6) AS fpr,
             round(cum_pos / all_pos, 6) AS tpr FROM totals UNION ALL SELECT 'Infinity'::DOUBLE, 0, 0""",
+        "row_numbers": """SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity) - 1 AS row_id,
+            l_orderkey, l_linenumber, l_partkey, CAST(l_quantity AS DOUBLE) AS l_quantity FROM lineitem""",
         "roc_points_thin": f"""WITH {RISK}, scored AS (SELECT target AS label, x_num AS score FROM risk), {ABOVE},
             runs AS (SELECT *, min(cum_pos) OVER v AS low_pos, max(cum_pos) OVER v AS high_pos,
                 min(cum_neg) OVER h AS low_neg, max(cum_neg) OVER h AS high_neg

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskmill.functions.scalars import band, class_label, q
-from riskmill.operators import choose, clean, encode, metrics, profile, rules, smotenc, split, validate, weights
+from riskmill.operators import choose, clean, encode, metrics, numbering, profile, rules, smotenc, split, validate, weights
 from riskmill.operators.models import (
     BOOSTING, CANDIDATES, EXTREME, FOREST, LOGISTIC, LinearScorer, fit_candidate, lr_gradient,
     score_with,
@@ -268,6 +268,13 @@ def decisions(spark, sf):
     )
 
 
+def row_numbers(spark, sf):
+    """Order lines have no key: the same order and line number occur several times."""
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+    numbered = numbering.row_numbers(lines, ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity"])
+    return numbered.select("row_id", "l_orderkey", "l_linenumber", "l_partkey", F.col("l_quantity").cast("double").alias("l_quantity"))
+
+
 def roc_points_thin(spark, sf):
     """A rare label ordered by a fine score: most points lie inside long horizontal runs."""
     scored = risk_events(spark, sf).select(F.col("target").alias("label"), F.col("x_num").alias("score"))
@@ -512,6 +519,7 @@ def all_queries():
         "confusion_by_fold": confusion_by_fold,
         "decisions": decisions,
         "metric_compare": metric_compare,
+        "row_numbers": row_numbers,
         "roc_points_thin": roc_points_thin,
         "evaluation_report": evaluation_report,
         "fold_metrics": lambda s, sf: rounded(_fold_metrics(s, sf)),
