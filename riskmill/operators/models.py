@@ -14,7 +14,7 @@ from riskmill.functions.scalars import add_all, logistic, q, safe_div
 from riskmill.operators.encode import Encoding
 from riskmill.operators.quantiles import exact_quantiles
 from riskmill.operators.smotenc import smotenc
-from riskmill.session import materialize
+from riskmill.session import materialize, reliable_checkpoints
 from riskmill.spec import FeatureSpec
 
 LOGISTIC = "Logistic Regression"
@@ -176,6 +176,8 @@ def fit_candidate(
     prepared = encoder.transform(data).select(
         "features", q(spec.target).cast("double").alias("label"), weight.alias("row_weight")
     )
+    if model in (BOOSTING, EXTREME):
+        reliable_checkpoints(train.sparkSession)
     fitted = _classifier(model, weight_total, settings).fit(prepared)
     return Fitted(
         model, strategy, encoding,

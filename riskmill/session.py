@@ -65,6 +65,16 @@ def materialize(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -
     return spark.read.schema(df.schema).parquet(path)
 
 
+def reliable_checkpoints(spark: SparkSession) -> None:
+    """Gives Spark's own checkpoints a place in the shared folder, unless the session has one.
+
+    Iterative learners then cut the lineage of their residuals every few rounds instead of carrying all of it.
+    """
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(f"{shared_folder(spark)}/checkpoints")
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a folder that ``new_folder`` named and that no frame still reads."""
     jvm = spark.sparkContext._jvm
