@@ -334,6 +334,16 @@ outputs AS (
     CASE WHEN valid THEN 5e-1 END AS threshold_used, valid, errors, first_error FROM weighed)"""
 
 
+# The response record of a checked and scored row.
+RESPONSE = """CASE WHEN valid THEN '{"success":true,"data":{"risk_score":'
+              || risk_score || ',"risk_percentage":' || round(risk_score * 100, 2) || ',"prediction":' || prediction
+              || ',"predicted_class":"' || CASE prediction WHEN 1 THEN 'Higher risk' ELSE 'Lower risk' END
+              || '","risk_category":"' || risk_category || '","threshold":0.5},"disclaimer":"'
+              || 'This is an educational risk screening prediction and not a medical diagnosis."}'
+            ELSE '{"success":false,"error":{"code":"VALIDATION_ERROR","message":"' || first_error || '"}}' END
+           """
+
+
 # Training rows with their fold, dealt out as kfold_assignment does.
 TRAIN_FOLDS = f"""{RISK_SPLIT}, train AS (SELECT row_id, target FROM parted WHERE split = 'train'),
   dealt AS (SELECT target, (row_number() OVER (ORDER BY target) - 1) % 5 AS fold FROM train),
@@ -626,13 +636,8 @@ def oracle_sql() -> dict[str, str]:
             AND x_cat NOT IN (SELECT event_type FROM events)""",
         "score_table": f"""WITH {CHECKED} SELECT row_id, risk_score, prediction, risk_category, threshold_used, valid,
             errors FROM outputs""",
-        "response_json": f"""WITH {CHECKED} SELECT row_id, CASE WHEN valid THEN '{{"success":true,"data":{{"risk_score":'
-              || risk_score || ',"risk_percentage":' || round(risk_score * 100, 2) || ',"prediction":' || prediction
-              || ',"predicted_class":"' || CASE prediction WHEN 1 THEN 'Higher risk' ELSE 'Lower risk' END
-              || '","risk_category":"' || risk_category || '","threshold":0.5}},"disclaimer":"'
-              || 'This is an educational risk screening prediction and not a medical diagnosis."}}'
-            ELSE '{{"success":false,"error":{{"code":"VALIDATION_ERROR","message":"' || first_error || '"}}}}' END
-            AS response FROM outputs""",
+        "response_json": f"WITH {CHECKED} SELECT row_id, {RESPONSE} AS response FROM outputs",
+        "stream_response": f"WITH {CHECKED} SELECT body, {RESPONSE} AS response, valid AS accepted FROM outputs",
         "stream_score": f"""WITH {CHECKED} SELECT body, risk_score, prediction, risk_category, valid, errors
             FROM outputs""",
     }

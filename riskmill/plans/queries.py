@@ -21,7 +21,7 @@ from riskmill.plans.fixtures import (
 from riskmill.session import materialize, new_folder
 from riskmill.sources import store, tables
 from riskmill.spec import FeatureSpec, ScoringSettings
-from riskmill.streaming.score_stream import scored_records, start_scoring
+from riskmill.streaming.score_stream import committed_responses, scored_records, start_responding, start_scoring
 
 FLAG = (0, 1)
 DIRTY_RULES = (
@@ -429,6 +429,15 @@ def stream_score(spark, sf):
     )
 
 
+def stream_response(spark, sf):
+    """The same stream, answered with response records."""
+    source, out, state = (new_folder(spark, f"stream-{part}") for part in ("in", "out", "state"))
+    record_lines(spark, sf).select("body").write.text(source)
+    query = start_responding(tables.json_lines(spark, source, stream=True), out, state, RISK_SPEC, CHOSEN)
+    query.awaitTermination()
+    return committed_responses(spark, out).select("body", "response", "accepted")
+
+
 def domain_membership(spark, sf):
     """Event records whose category is in no row of the discovered domain table."""
     domain = profile.domain_discovery(risk_events(spark, sf), ["x_cat"])
@@ -547,5 +556,6 @@ def all_queries():
         "score_table": score_records,
         "response_json": response_json,
         "stream_score": stream_score,
+        "stream_response": stream_response,
     }
     return found
