@@ -47,6 +47,11 @@ def logistic(z: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
 
 
+def trimmed(text: Column) -> Column:
+    """Text without white space at its ends; null if nothing is left."""
+    return F.nullif(F.btrim(text, F.lit(" \t\n\x0b\x0c\r\u00a0")), F.lit(""))
+
+
 def clamp(col: Column, lo: float, hi: float) -> Column:
     return F.least(F.greatest(col, F.lit(lo)), F.lit(hi))
 

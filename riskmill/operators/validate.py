@@ -5,12 +5,13 @@ Per field the JSON type is known, so ``1``, ``true``, ``"1"`` and ``[1]`` are to
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskmill.functions.scalars import q
+from riskmill.functions.scalars import q, trimmed
 from riskmill.spec import FeatureSpec
 
 # The messages of rejected records.
@@ -100,6 +101,28 @@ class _Field:
         )
 
 
+def form_records(form: DataFrame, spec: FeatureSpec, body: str = "body") -> DataFrame:
+    """Records as a form sends them: ``form`` has every feature as text, the result a JSON ``body`` in their place.
+
+    Numbers and flags are trimmed and sent as numbers, or as they were typed where they are none; empty fields are left
+    out. Other columns stay.
+    """
+    def number(c: str, kind: str) -> Column:
+        text = trimmed(q(c))
+        typed = text.try_cast(kind).cast("string")
+        finite = typed.isNotNull() & ~typed.isin("NaN", "Infinity", "-Infinity")
+        return F.when(finite, typed).when(text.isNotNull(), F.to_json(F.array(text)).substr(F.lit(2), F.length(F.to_json(F.array(text))) - 2))
+
+    parts = [
+        F.concat(F.lit(f"{json.dumps(c)}:"), number(c, "bigint" if c in spec.binary else "double")) if c not in spec.categorical
+        else F.concat(F.lit(f"{json.dumps(c)}:"), F.expr(f"substring(to_json(array(`{c}`)), 2, length(to_json(array(`{c}`))) - 2)"))
+        for c in spec.features
+    ]
+    filled = [F.when(trimmed(q(c)).isNotNull(), part) for c, part in zip(spec.features, parts, strict=True)]
+    kept = [c for c in form.columns if c not in spec.features and c != body]
+    return form.select(*[q(c) for c in kept], F.concat(F.lit("{"), F.concat_ws(",", *filled), F.lit("}")).alias(body))
+
+
 def _read_fields(df: DataFrame, spec: FeatureSpec, body: str) -> tuple[DataFrame, dict]:
     """Parses each record once and each field once, step by step, so that nothing is repeated."""
     fields = {c: _Field(c) for c in spec.features}

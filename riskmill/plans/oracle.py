@@ -637,6 +637,18 @@ def oracle_sql() -> dict[str, str]:
         "score_table": f"""WITH {CHECKED} SELECT row_id, risk_score, prediction, risk_category, threshold_used, valid,
             errors FROM outputs""",
         "response_json": f"WITH {CHECKED} SELECT row_id, {RESPONSE} AS response FROM outputs",
+        "form_scores": """WITH typed AS (
+              SELECT *, 1 / (1 + exp(-(-8e-1 + (value - 5e1) / 6e1 * 45e-2 + CASE event_type WHEN 'click' THEN -1e-1
+                WHEN 'error' THEN 55e-2 WHEN 'purchase' THEN 2e-1 WHEN 'signup' THEN -25e-2 WHEN 'view' THEN 5e-2 END
+                + 3e-1 * (user_id % 2)))) AS p,
+                CASE event_id % 9 WHEN 0 THEN 'Missing required field: ''x_num'''
+                  WHEN 1 THEN 'Invalid x_num: ten. Must be a number.'
+                  ELSE CASE WHEN value NOT BETWEEN 0 AND 400
+                    THEN 'Invalid x_num: ' || value || '. Must be between 0 and 400.' ELSE '' END END AS errors
+              FROM events)
+            SELECT event_id AS row_id, CASE WHEN errors = '' THEN round(p, 4) END AS risk_score,
+              CASE WHEN errors = '' THEN CAST(p >= 5e-1 AS INTEGER) END AS prediction, errors = '' AS valid, errors
+            FROM typed""",
         "stream_response": f"WITH {CHECKED} SELECT body, {RESPONSE} AS response, valid AS accepted FROM outputs",
         "stream_score": f"""WITH {CHECKED} SELECT body, risk_score, prediction, risk_category, valid, errors
             FROM outputs""",

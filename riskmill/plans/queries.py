@@ -395,6 +395,21 @@ def validate_records(spark, sf):
     return _checked(spark, sf).select("row_id", F.array_join("errors", " | ").alias("errors"))
 
 
+def form_scores(spark, sf):
+    """Events typed into a form, with blanks around numbers and some fields empty: sent, checked and scored."""
+    eid = F.col("event_id")
+    typed = table(spark, sf, "events").select(
+        eid.alias("row_id"),
+        F.when(eid % 9 == 0, F.lit(" \t")).when(eid % 9 == 1, F.lit(" ten "))
+        .otherwise(F.concat(F.lit("  "), F.col("value").cast("string"), F.lit("\t "))).alias("x_num"),
+        F.col("event_type").alias("x_cat"), F.concat(F.lit(" "), (F.col("user_id") % 2).cast("string")).alias("x_bin"),
+    )
+    checked = validate.validate_records(validate.form_records(typed, RISK_SPEC), RISK_SPEC)
+    return score_table(checked, RISK_SPEC, CHOSEN).select(
+        "row_id", "risk_score", "prediction", "valid", F.array_join("errors", " | ").alias("errors")
+    )
+
+
 def quarantine_split(spark, sf):
     good, bad = validate.split_valid(_checked(spark, sf))
     return good.select("row_id", *RISK_SPEC.features, F.lit("valid").alias("side")).unionByName(
@@ -552,6 +567,7 @@ def all_queries():
         "saved_model_roundtrip": saved_model_roundtrip,
         "validate_records": validate_records,
         "quarantine_split": quarantine_split,
+        "form_scores": form_scores,
         "domain_membership": domain_membership,
         "score_table": score_records,
         "response_json": response_json,

@@ -4,8 +4,8 @@ import pytest
 
 from riskmill.operators.models import LinearScorer
 from riskmill.operators.scoring import responses, score_table
-from riskmill.operators.validate import split_valid, validate_records, validate_rows
-from riskmill.spec import SCREENING_SPEC
+from riskmill.operators.validate import form_records, split_valid, validate_records, validate_rows
+from riskmill.spec import SCREENING_SPEC, FeatureSpec
 
 GOOD = {
     "age": 55, "gender": "Male", "hypertension": 1, "heart_disease": 0, "ever_married": "Yes",
@@ -138,3 +138,15 @@ def test_typed_rows_follow_the_same_rules(spark):
         [], ["Invalid age: NaN. Must be a number."], ["Missing required field: 'age'"],
         ["Invalid hypertension: 7. Must be 0 or 1.", f"Invalid gender: 'x'. Must be one of: {GENDERS}"],
     ]
+
+
+def test_a_form_sends_trimmed_numbers(spark):
+    rows = [(1, " 55 ", "Private\t", "1"), (2, "\t", "a \"b\"", " 0\n"), (3, "1e2", None, ""), (4, "ten", "x", "yes"),
+            (5, "NaN", " ", "2"), (6, None, "y", None)]
+    spec = FeatureSpec(key="k", numeric=("n",), categorical=("c",), binary=("f",), target="t")
+    sent = form_records(spark.createDataFrame(rows, "k int, n string, c string, f string"), spec)
+    got = {r["k"]: json.loads(r["body"]) for r in sent.collect()}
+    assert got == {
+        1: {"n": 55.0, "c": "Private\t", "f": 1}, 2: {"c": 'a "b"', "f": 0}, 3: {"n": 100.0}, 4: {"n": "ten", "c": "x", "f": "yes"},
+        5: {"n": "NaN", "f": 2}, 6: {"c": "y"},
+    }
