@@ -5,7 +5,9 @@ from __future__ import annotations
 from dataclasses import dataclass, replace
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import (
+    GBTClassifier, LogisticRegression, RandomForestClassificationModel, RandomForestClassifier,
+)
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +16,8 @@ from riskmill.functions.scalars import add_all, logistic, q, safe_div
 from riskmill.operators.encode import Encoding
 from riskmill.operators.quantiles import exact_quantiles
 from riskmill.operators.smotenc import smotenc
-from riskmill.session import materialize, reliable_checkpoints
+from riskmill.operators.trees import NODE, Grower, TreeFit, cells, node_rows
+from riskmill.session import materialize, new_folder, reliable_checkpoints
 from riskmill.spec import FeatureSpec
 
 LOGISTIC = "Logistic Regression"
@@ -126,6 +129,34 @@ def _classifier(model: str, weight_total: float, s: ModelSettings):
     raise ValueError(f"Unknown model: {model}")
 
 
+def tree_fit(model: str, strategy: str, facts: dict, s: ModelSettings, data: int = 0) -> TreeFit:
+    """A forest or boosting as a fit on training set ``data``, whose class counts are in ``facts``."""
+    weights = strategy_factors(strategy, facts["n0"], facts["n1"])
+    if model == FOREST:
+        return TreeFit(data, weights, s.forest_trees, s.forest_depth, seed=s.seed)
+    if model == BOOSTING:
+        return TreeFit(data, weights, s.boosting_rounds, s.boosting_depth, s.boosting_step)
+    return TreeFit(data, weights, s.extreme_rounds, s.extreme_depth, s.extreme_step)
+
+
+def _forest(rows: DataFrame, encoding: Encoding, encoder: PipelineModel, fit: TreeFit, s: ModelSettings):
+    """A forest grown on counted rows, as the model that Spark's own learner returns."""
+    spark = rows.sparkSession
+    grower = Grower(cells(rows, encoding, fit.data), {fit.data: encoding})
+    trees = grower.forests({0: fit})[0]
+    grower.close()
+    # Spark's learner on two rows makes the saved model; its nodes are replaced.
+    both = F.explode(F.array(F.lit(0.0), F.lit(1.0))).alias("label")
+    two = encoder.transform(rows.limit(1)).select("features", both, F.lit(1.0).alias("row_weight"))
+    path = new_folder(spark, "forest")
+    _classifier(FOREST, fit.weights[0], s).fit(two).write().save(path)
+    shape, weights = grower.shapes[fit.data], fit.weights
+    numbered = spark.sparkContext.parallelize(list(enumerate(trees)), min(len(trees), 16))
+    nodes = numbered.flatMap(lambda item: ((item[0], n) for _, n in node_rows([item[1]], shape, weights)))
+    spark.createDataFrame(nodes, NODE, verifySchema=False).write.mode("overwrite").parquet(f"{path}/data")
+    return RandomForestClassificationModel.load(path)
+
+
 def bin_cuts(rows: DataFrame, spec: FeatureSpec, bins: int = BINS) -> dict:
     """Exact quantiles of every numeric column, as cuts of about equally full bins."""
     found = exact_quantiles(rows, spec.numeric, [i / bins for i in range(1, bins)])
@@ -152,8 +183,7 @@ def fit_candidate(
     what was learned from the fitted rows when several candidates share them. Equal rows are
     collapsed to weighted ones, which is the same problem for logistic regression, and for boosting
     once numbers are binned: with no more values than bins, all of them are split candidates and
-    none come from a sample. Forests see single rows, since they draw them one by one; bins bound
-    the size of their trees.
+    none come from a sample. Forests draw how often each of their trees sees the rows of a cell.
     """
     if model not in (LOGISTIC, FOREST, BOOSTING, EXTREME):
         raise ValueError(f"Unknown model: {model}")
@@ -168,11 +198,14 @@ def fit_candidate(
     encoding, facts = learned or learn(rows, spec, binned=model != LOGISTIC)
     n0, n1 = facts["n0"], facts["n1"]
     weight_total = float(n0 + n0 if strategy == "scale_pos_weight" else n0 + n1)
+    encoder = encoding.transformer(train.sparkSession)
+    if model == FOREST:
+        fitted = _forest(rows, encoding, encoder, tree_fit(model, strategy, facts, settings), settings)
+        return Fitted(model, strategy, encoding, PipelineModel(stages=[*encoder.stages, fitted]), weight_total)
     if encoding.cuts is not None:
         rows = encoding.binned(rows)
-    data = rows.withColumn("copies", F.lit(1.0)) if model == FOREST else collapse_rows(rows, spec)
+    data = collapse_rows(rows, spec)
     weight = F.col("copies") * strategy_weight(spec, strategy, n0, n1)
-    encoder = encoding.transformer(train.sparkSession)
     prepared = encoder.transform(data).select(
         "features", q(spec.target).cast("double").alias("label"), weight.alias("row_weight")
     )
