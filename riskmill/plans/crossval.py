@@ -12,10 +12,13 @@ from pyspark.sql import functions as F
 from riskmill.functions.scalars import one_row, q
 from riskmill.operators.choose import cv_summary, select_candidate
 from riskmill.operators.metrics import all_metrics, fold_metrics
-from riskmill.operators.models import CANDIDATES, LOGISTIC, Fitted, ModelSettings, fit_candidate, learn
+from riskmill.operators.models import (
+    CANDIDATES, FOREST, LOGISTIC, Fitted, ModelSettings, fit_candidate, learn, tree_fit,
+)
 from riskmill.operators.newton import Fit, fit_many, too_wide
 from riskmill.operators.smotenc import smotenc
 from riskmill.operators.split import stratified_kfold, stratified_split
+from riskmill.operators.trees import Grower, cells, codes
 from riskmill.session import materialize, new_folder
 from riskmill.spec import FeatureSpec
 
@@ -56,8 +59,9 @@ def out_of_fold_scores(
 
     Resampled rows are made and encodings are learned once per fold and shared. All logistic
     regressions are fitted side by side, a scan of the rows per step of all of them (one by one only
-    if categories need more slots than fit a dense matrix; the optimum is the same). Scores are
-    written as soon as they exist, so a lost executor costs one fit at most.
+    if categories need more slots than fit a dense matrix; the optimum is the same). All forests, and
+    all boosted trees, grow side by side on counted rows, a job per level of all of them. Scores are
+    written as soon as they exist.
     """
     spark = folds.sparkSession
     unknown = [c for c in candidates if c not in CANDIDATES]
@@ -83,8 +87,7 @@ def out_of_fold_scores(
     def fit(seq: int, model: str, strategy: str, fold: int):
         synthetic = strategy == "smotenc"
         fitted = fit_candidate(
-            train_rows(fold), spec, model, strategy, settings, resampled.get(fold),
-            learned[fold, synthetic, model != LOGISTIC],
+            train_rows(fold), spec, model, strategy, settings, resampled.get(fold), learned[fold, synthetic, False],
         )
         held_out = folds.filter(F.col("fold") == fold)
         _scored(fitted, held_out, spec, seq, fold).write.parquet(f"{path}/fit={seq}-{fold}")
@@ -112,14 +115,49 @@ def out_of_fold_scores(
         ]
         reduce(DataFrame.unionByName, parts).write.parquet(f"{path}/fit=logistic")
 
+    def fit_trees(chosen: list[tuple[str, str]]):
+        """All folds of tree candidates: held-out rows are cells of their training set that count in no class."""
+        fits, named, encodings, counted, asked = {}, [], {}, [], []
+        for m, s in chosen:
+            seq = CANDIDATES.index((m, s))
+            for fold in range(k):
+                synthetic = s == "smotenc"
+                data, number = 2 * fold + synthetic, seq * k + fold
+                encoding, facts = learned[fold, synthetic, True]
+                fits[number] = tree_fit(m, s, facts, settings, data)
+                named.append((number, m, s, seq, fold))
+                if data not in encodings:
+                    rows = resampled[fold] if synthetic else train_rows(fold)
+                    held_out = folds.filter(F.col("fold") == fold)
+                    encodings[data] = encoding
+                    counted.append(cells(rows, encoding, data, held_out))
+                    asked.append(codes(held_out.select(
+                        F.lit(data).alias("data"), q(spec.key).cast("string").alias("key"),
+                        q(spec.target).cast("int").alias("label"), *spec.features,
+                    ), encoding).drop(*spec.features))
+        grower = Grower(reduce(DataFrame.unionByName, counted), encodings)
+        if chosen[0][0] == FOREST:
+            scores = grower.forest_scores(fits, grower.forests(fits))
+        else:
+            scores = grower.boosted_scores(fits)
+        grower.close()
+        names = spark.createDataFrame(named, "fit int, model string, strategy string, seq int, fold int")
+        rows = reduce(DataFrame.unionByName, asked).join(scores, ["data", *grower.names])
+        kept = ["model", "strategy", "seq", "fold", "key", "label", "score"]
+        family = chosen[0][0].split()[-1].lower()
+        rows.join(F.broadcast(names), "fit").select(*kept).write.parquet(f"{path}/fit=trees-{family}")
+
     strategies = [s for m, s in candidates if m == LOGISTIC]
     together = bool(strategies) and not too_wide(folds, spec)
-    alone = [(m, s) for m, s in candidates if not (together and m == LOGISTIC)]
-    # What the single fits need learned: from resampled rows or not, with binned numbers or not.
-    kinds = {(s == "smotenc", m != LOGISTIC) for m, s in alone}
+    alone = [(m, s) for m, s in candidates if m == LOGISTIC and not together]
+    forests = [c for c in candidates if c[0] == FOREST]
+    boosted = [c for c in candidates if c[0] not in (LOGISTIC, FOREST)]
+    # What the other fits need learned: from resampled rows or not, with binned numbers or not.
+    kinds = {(s == "smotenc", m != LOGISTIC) for m, s in alone + forests + boosted}
     needed = {synthetic for synthetic, _ in kinds} | {True for s in strategies if s == "smotenc"}
     _run_all(spark, [lambda a=(fold, synthetic): prepare(*a) for synthetic in sorted(needed) for fold in range(k)])
     jobs = [lambda: fit_logistic(strategies)] if together else []
+    jobs += [lambda own=own: fit_trees(own) for own in (boosted, forests) if own]
     _run_all(spark, jobs + [
         lambda a=(CANDIDATES.index((m, s)), m, s, fold): fit(*a) for m, s in alone for fold in range(k)
     ])

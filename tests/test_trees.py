@@ -50,6 +50,16 @@ def test_blocks_together_grow_the_trees_of_one_block(folds, monkeypatch):
     assert len(forest) == 8 and all(abs(t.sums[0, :2].sum() - facts["n0"] - facts["n1"]) < 200 for t in forest)
 
 
+def test_a_grid_takes_few_jobs(spark, folds):
+    spark.sparkContext.setJobGroup("grid", "few jobs")
+    many = ModelSettings(boosting_rounds=20, extreme_rounds=20)
+    crossval.out_of_fold_scores(folds, RISK_SPEC, [(BOOSTING, "baseline"), (EXTREME, "baseline")], 2, many)
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("grid")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    # Spark's learners need a job per level of each of 80 trees.
+    assert len(jobs) < 120
+
+
 def test_a_forest_draws_every_copy(spark, sf_dir):
     """Of a thousand equal rows a tree sees about a thousand, whatever the way they are stored."""
     once = risk_events(spark, sf_dir).withColumn("x_num", F.floor(F.col("x_num") / 50).cast("double"))
