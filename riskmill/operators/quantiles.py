@@ -35,10 +35,6 @@ def _sketch(value: Column, probs) -> Column:
     return F.percentile_approx(value, F.expr(f"array({listed})"), ACCURACY)
 
 
-def _between(value: Column, interval: tuple[float, float]) -> Column:
-    return (value >= F.lit(interval[0])) & (value <= F.lit(interval[1]))
-
-
 def _joined(intervals) -> list[tuple[float, float]]:
     """The intervals in order, those that touch as one."""
     out: list[tuple[float, float]] = []
@@ -68,20 +64,36 @@ def _brackets(df: DataFrame, ranks: dict[str, list[int]], sizes: dict[str, int])
     return out
 
 
+def _cells(df: DataFrame, intervals: dict) -> DataFrame:
+    """A row per value of each column: the column's number, how many intervals begin up to it, itself if inside one."""
+    def cell(i: int, value: Column, own) -> Column:
+        starts, ends = (F.lit(list(side)).cast("array<double>") for side in zip(*own, strict=True))
+        gap = F.size(F.filter(starts, lambda s: s <= value))
+        inside = F.coalesce(value <= F.get(ends, gap - 1), F.lit(False))
+        return F.when(value.isNotNull(), F.struct(
+            F.lit(i).alias("i"), gap.alias("gap"), F.when(inside, value).alias("value"), value.alias("seen")
+        ))
+
+    cells = [cell(i, _value(c), own) for i, (c, own) in enumerate(intervals.items())]
+    return df.select(F.inline(F.array_compact(F.array(*cells))))
+
+
 def _narrowed(df: DataFrame, ranks: dict[str, list[int]], brackets: dict) -> dict:
     """Second scan: for each rank an interval that a sketch of its bracket puts it in."""
     grid = [k / STEPS for k in range(1, STEPS)]
     # Brackets of neighbouring ranks overlap and are searched as one.
     whole = {c: _joined(own) for c, own in brackets.items()}
-    places = [(c, interval) for c in ranks for interval in whole[c]]
-    row = df.agg(*[
-        F.struct(
-            F.count_if(_value(c) < F.lit(interval[0])).alias("below"), F.count_if(_between(_value(c), interval)).alias("n"),
-            _sketch(F.when(_between(_value(c), interval), _value(c)), grid).alias("grid"),
-        ).alias(f"p{i}")
-        for i, (c, interval) in enumerate(places)
-    ]).first()
-    told = {place: row[f"p{i}"] for i, place in enumerate(places)}
+    long = _cells(df, {c: whole[c] for c in ranks})
+    rows = long.groupBy("i", "gap").agg(
+        F.count("*").alias("rows"), F.count("value").alias("n"), _sketch(F.col("value"), grid).alias("grid")
+    ).collect()
+    told = {}
+    for i, c in enumerate(ranks):
+        own = {r["gap"]: r for r in rows if r["i"] == i}
+        for place, interval in enumerate(whole[c]):
+            found = own.get(place + 1)
+            below = sum(r["rows"] for gap, r in own.items() if gap <= place)
+            told[c, interval] = {"below": below, "n": found["n"] if found else 0, "grid": found and found["grid"]}
     # The sketch's error on both sides, and a place more for rounding.
     slack = 2 + math.ceil(2 * STEPS / ACCURACY)
     out = {}
@@ -106,16 +118,7 @@ def _listed(df: DataFrame, intervals: dict) -> dict[str, list[tuple]]:
 
     Some millionths of the rows per interval reach the driver, and as many counts as there are gaps between them.
     """
-    def cell(i: int, value: Column, own) -> Column:
-        starts, ends = (F.lit(list(side)).cast("array<double>") for side in zip(*own, strict=True))
-        gap = F.size(F.filter(starts, lambda s: s <= value))
-        inside = F.coalesce(value <= F.get(ends, gap - 1), F.lit(False))
-        return F.when(value.isNotNull(), F.struct(
-            F.lit(i).alias("i"), gap.alias("gap"), F.when(inside, value).alias("value"), value.alias("seen")
-        ))
-
-    cells = [cell(i, _value(c), own) for i, (c, own) in enumerate(intervals.items())]
-    long = df.select(F.inline(F.array_compact(F.array(*cells))))
+    long = _cells(df, intervals)
     counted = long.groupBy("i", "gap", "value").agg(
         F.min("seen").alias("lo"), F.max("seen").alias("hi"), F.count("*").alias("n")
     )

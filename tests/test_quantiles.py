@@ -87,3 +87,18 @@ def test_histogram_of_a_constant(spark):
     df = spark.createDataFrame([(2.0,)] * 7, "x double")
     rows = profile.histogram(df, "x", 4).orderBy("bin").collect()
     assert [r["n"] for r in rows] == [0, 0, 7, 0] and rows[0]["lo"] == 1.5 and rows[-1]["hi"] == 2.5
+
+
+def test_brackets_are_sketched_in_one_aggregate(spark, monkeypatch):
+    """A row is sketched in its own bracket only, however many ranks are wanted."""
+    import numpy as np
+
+    from riskmill.operators import quantiles as module
+
+    asked, sketch = [], module._sketch
+    monkeypatch.setattr(module, "_sketch", lambda value, probs: asked.append(1) or sketch(value, probs))
+    df = spark.range(40_000).selectExpr("pow(id % 9973, 2) AS x")
+    probs = [i / 32 for i in range(1, 32)]
+    found = module.exact_quantiles(df, ["x"], probs)["x"]
+    expected = np.quantile([float(i % 9973) ** 2 for i in range(40_000)], probs)
+    assert np.allclose(found, expected, rtol=1e-12) and len(asked) == 3
