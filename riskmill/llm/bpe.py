@@ -24,7 +24,6 @@ import json
 import re
 import sys
 from array import array
-from functools import lru_cache
 from itertools import chain
 
 import ahocorasick
@@ -33,7 +32,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from riskmill.llm.shared import WordCache, documents, in_slices
+from riskmill.llm.shared import WordCache, documents, in_slices, kept
 
 # The pre-tokeniser pattern that belongs to byte-level vocabularies of this kind.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -367,10 +366,9 @@ class Codec:
         return self.decode_bytes(ids).decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=2)
 def codec(content: bytes) -> Codec:
-    """One codec per worker process."""
-    return Codec(content)
+    """One codec per worker process, until another operator runs there."""
+    return kept(("codec", content), lambda: Codec(content))
 
 
 def vocabulary(path: str) -> bytes:

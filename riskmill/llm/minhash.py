@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskmill.llm.shared import WordCache, components, documents, in_slices
+from riskmill.llm.shared import WordCache, components, documents, in_slices, kept
 from riskmill.session import materialize
 
 #: 64-bit words of a set's bit map; long sets fill it, and then it filters less.
@@ -89,11 +89,10 @@ def sketches(docs: DataFrame, how: Near = Near()) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()),
                         ("sketch", pa.list_(pa.int64()))])
     width, k = how.words, how.k
-    held: list[Shingler] = []
 
     def make(ids, texts):
-        held[:] = held or [Shingler(width)]
-        sets = [held[0](t) for t in texts]
+        shingler = kept(("shingler", width), lambda: Shingler(width))
+        sets = [shingler(t) for t in texts]
         return {
             "doc_id": ids, "n_shingles": [len(s) for s in sets],
             "set_key": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets],
@@ -107,11 +106,10 @@ def shingle_sets(docs: DataFrame, how: Near = Near()) -> DataFrame:
     """(doc_id, shingles): the sorted hashes as bytes."""
     schema = pa.schema([("doc_id", pa.int64()), ("shingles", pa.binary())])
     width = how.words
-    held: list[Shingler] = []
 
     def make(ids, texts):
-        held[:] = held or [Shingler(width)]
-        return {"doc_id": ids, "shingles": [held[0](t).tobytes() for t in texts]}
+        shingler = kept(("shingler", width), lambda: Shingler(width))
+        return {"doc_id": ids, "shingles": [shingler(t).tobytes() for t in texts]}
 
     return documents(docs).mapInArrow(in_slices(make, schema), "doc_id long, shingles binary")
 

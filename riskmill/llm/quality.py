@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskmill.llm.shared import WordCache, documents, in_slices, labelled_sample
+from riskmill.llm.shared import WordCache, documents, in_slices, kept, labelled_sample
 
 
 @dataclass(frozen=True)
@@ -102,7 +102,8 @@ class Model:
         """Share of the neighbours' weight that label 1 has."""
         cosine = self.project(counts) @ self.vectors.T
         k = min(self.how.neighbours, cosine.shape[1])
-        near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
+        few = [cosine[i : i + 64] for i in range(0, max(1, len(cosine)), 64)]
+        near = np.concatenate([np.argpartition(-rows, k - 1, axis=1)[:, :k] for rows in few])
         best = np.take_along_axis(cosine, near, 1)
         weight = np.exp(self.how.sharpness * (best - 1))
         return (weight * self.labels[near]).sum(1) / weight.sum(1)
@@ -120,7 +121,7 @@ def fit(docs: DataFrame, labels: DataFrame, how: Fit = Fit()) -> Model | None:
     size = how.terms
 
     def run(batches):
-        terms = Terms(size)
+        terms = kept(("terms", size), lambda: Terms(size))
         for batch in batches:
             counts = [terms(t.as_py()).tobytes() for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays(
@@ -147,12 +148,13 @@ def score(docs: DataFrame, model: Model | None, block: int = 512) -> DataFrame:
     if model is None:
         return documents(docs).select("doc_id", F.lit(0.5).alias("score"), F.lit(1).alias("predicted"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    held: list[Terms] = []
 
     def make(ids, texts):
-        held[:] = held or [Terms(shared.value.how.terms)]
-        counts = np.stack([held[0](t) for t in texts])
-        votes = np.concatenate([shared.value.vote(counts[i : i + block]) for i in range(0, len(counts), block)])
+        size = shared.value.how.terms
+        terms = kept(("terms", size), lambda: Terms(size))
+        # The counts of a text are wide, those of many short texts together far larger than the texts.
+        parts = [texts[i : i + block] for i in range(0, len(texts), block)]
+        votes = np.concatenate([shared.value.vote(np.stack([terms(t) for t in part])) for part in parts])
         votes = np.clip(votes.astype(float), 0, 1)
         return {"doc_id": ids, "score": votes, "predicted": (votes >= 0.5).astype(np.int32)}
 

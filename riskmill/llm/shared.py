@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -46,12 +47,34 @@ def labelled_sample(
     return rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("mark").alias("mark"))
 
 
+_kept: list = []
+
+
+def kept(key, make: Callable):
+    """``make()``, held by the worker process from task to task until another key is asked for.
+
+    Spark gives a worker to one operator after another, so what each of them holds must not add up: there is one
+    place, and what was in it is freed before the next value is made.
+    """
+    if not _kept or _kept[0] != key:
+        _kept.clear()
+        gc.collect()
+        release()
+        _kept[:] = [key, make()]
+    return _kept[1]
+
+
+def release() -> None:
+    """Gives memory that is free back to the system, which the C library would keep for the life of the worker."""
+    pa.system_memory_pool().release_unused()
+
+
 def in_slices(
     make: Callable[[list, list[str]], dict], schema: pa.Schema, max_chars: int = 2_000_000
 ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """For ``mapInArrow`` over (doc_id, text): calls ``make(ids, texts)`` on slices of bounded text size.
 
-    A slice holds at most ``max_chars`` characters, or a single longer text.
+    A slice holds at most ``max_chars`` characters, or a single longer text. Free memory is released batch by batch.
     """
 
     def run(batches):
@@ -67,6 +90,8 @@ def in_slices(
                 held += len(text)
             if texts:
                 yield pa.RecordBatch.from_pydict(make(ids[first:], texts), schema=schema)
+            del batch, ids, column, texts
+            release()
 
     return run
 

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskmill.llm.shared import WordCache, documents, in_slices, labelled_sample
+from riskmill.llm.shared import WordCache, documents, in_slices, kept, labelled_sample
 
 MARKS = b".,;:!?\"'()[]{}<>*#&$%|-_"
 SCORES = "doc_id long, expected_severity double, severity int, score double, toxic int"
@@ -170,13 +170,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = pa.schema([("doc_id", pa.int64()), ("expected_severity", pa.float64()), ("severity", pa.int32()),
                         ("score", pa.float64()), ("toxic", pa.int32())])
-    held: list[WordCache] = []
 
     def make(ids, texts):
-        held[:] = held or [WordCache(shared.value.word_weight, 150_000)]
-        look = held[0].__getitem__
+        model = shared.value
+        look = kept(("severity", model), lambda: WordCache(model.word_weight, 150_000)).__getitem__
         total = np.array([sum(map(look, set(t.encode("utf-8", "surrogatepass").split()))) for t in texts], float)
-        p = shared.value.exceed(total)
+        p = model.exceed(total)
         return {"doc_id": ids, "expected_severity": p.sum(1), "severity": (p >= 0.5).sum(1).astype(np.int32),
                 "score": p[:, 0], "toxic": (p[:, 0] >= 0.5).astype(np.int32)}
 
