@@ -7,9 +7,10 @@ two (the pair-compatibility table). Where no token fits, the last one is taken b
 positions that were proved dead are not visited again, so a piece takes linear time. The outcome is the one
 of the merge rules, exactly.
 
-Pieces that a slice of texts brings for the first time are encoded together: one automaton pass over all of them, then
-the same backtracking in lock step, one NumPy operation for all pieces at a time. Pieces longer than ``TOGETHER`` bytes
-would keep the others waiting and go one by one.
+Of a slice of texts, Arrow numbers the words, so that each different one is looked up once, whatever the number of its
+occurrences. Pieces of words that are new are encoded together: one automaton pass over all of them, then the same
+backtracking in lock step, one NumPy operation for all pieces at a time. Pieces longer than ``TOGETHER`` bytes
+would keep the others waiting and go one by one. The ids of all texts are then gathered by the numbers of their words.
 
 Decoding gathers token bytes through an offset table into one flat byte array.
 
@@ -29,6 +30,7 @@ from itertools import chain
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
@@ -39,6 +41,9 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 if sys.byteorder != "little" or array("I").itemsize != 4:
     raise ImportError("ids are kept as little-endian 32-bit numbers")
 ODD_SPACE = regex.compile(r" (?!\S)")
+#: Arrow's expression finds all texts that ``ODD_SPACE`` finds, and those with a space before any control character.
+MAYBE_ODD = r" (?:[\pZ\x00-\x1f\x7f-\xa0]|$)"
+MARKS = frozenset(".,!?;:")
 #: Bytes of a piece that is encoded together with others; entries of the pair table's direct-mapped part.
 TOGETHER, PAIRS = 64, 1 << 20
 SHIFT = 20
@@ -51,6 +56,13 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+def runs(begin: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of runs one after another, and the place where each run begins (with the end as last place)."""
+    places = np.zeros(len(begin) + 1, np.int64)
+    np.cumsum(length, out=places[1:])
+    return np.arange(places[-1]) + np.repeat(begin - places[:-1], length), places
+
+
 class OffsetTable:
     """Byte strings by id in one flat array, found through their offsets."""
 
@@ -61,9 +73,7 @@ class OffsetTable:
     def gather(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
         """The strings of ``ids`` in a row, and the place where each begins (with the end as last place)."""
         begin = self.offsets[ids]
-        places = np.zeros(len(ids) + 1, np.int64)
-        np.cumsum(self.offsets[ids + 1] - begin, out=places[1:])
-        at = np.arange(places[-1]) + np.repeat(begin - places[:-1], np.diff(places))
+        at, places = runs(begin, self.offsets[ids + 1] - begin)
         return self.flat[at].tobytes(), places
 
 
@@ -96,7 +106,7 @@ class Codec:
         for name, number in order.items():
             if len(name) == 2:
                 self.two_bytes[ord(name[0]) << 8 | ord(name[1])] = number
-            elif len(name) > 2:
+            elif len(name) > 2 and "\xff" not in name:  # 0xFF lies between pieces, and never in UTF-8
                 self.finder.add_word(name, (len(name) - 1) << SHIFT | number)
         self.finder.make_automaton()
         self.short = self.two_bytes.tolist()
@@ -128,7 +138,6 @@ class Codec:
         self.part_arrays = np.array(self.parts, np.int64).T.copy()
         self.size_array, self.shorter_array = np.array(self.sizes, np.int64), np.array(self.shorter, np.int64)
         self.out_array = np.array(self.out, "<u4")
-        self.fresh: dict[str, bytes] = {}
         self.pieces = WordCache(self._piece, cached // 4)
         self.words = WordCache(self._word, 2 * cached)
 
@@ -184,29 +193,30 @@ class Codec:
             self.pair_keys[place[last]], self.pair_fits[place[last]] = new[last], found[last]
         return fit
 
-    def _together(self, pieces: list[str]) -> dict[str, bytes]:
-        """Ids of pieces of at most ``TOGETHER`` bytes, all worked on side by side.
+    def _together(self, pieces: list[str]) -> tuple[bytes, np.ndarray]:
+        """Ids of pieces of at most ``TOGETHER`` bytes, all worked on side by side: the ids of all in a row, and the
+        byte where each piece's begin (with the end as last one).
 
         Positions are those in the joined pieces, with one place between two of them. ``chosen`` holds the token taken at
         a position, ``back`` where the token that ends at a position began.
         """
-        names = [p.encode().decode("latin-1") for p in pieces]
-        joined = "\u0100".join(names)
-        begin = np.zeros(len(names), np.int64)
-        length = np.fromiter(map(len, names), np.int64, len(names))
-        np.cumsum(length[:-1] + 1, out=begin[1:])
-        end = begin + length
-        data = np.frombuffer(joined.encode("utf-16-le"), "<u2").astype(np.int64)
+        if not pieces:
+            return b"", np.zeros(1, np.int64)
+        # This lone surrogate becomes the byte 0xFF, which no UTF-8 has.
+        joined = "\udcff".join(pieces).encode("utf-8", "surrogateescape")
+        data = np.frombuffer(joined, np.uint8).astype(np.int64)
+        border = data == 0xFF
+        end = np.append(np.flatnonzero(border), len(joined))
+        begin = np.append(0, end[:-1] + 1)
         longest = data.copy()
-        # A border's number is above all bytes.
-        inner = np.flatnonzero((data[:-1] < 256) & (data[1:] < 256))
+        inner = np.flatnonzero(~(border[:-1] | border[1:]))
         longest[inner] = self.two_bytes[data[inner] << 8 | data[inner + 1]]
-        found = np.fromiter(chain.from_iterable(self.finder.iter(joined)), np.int64).reshape(-1, 2)
+        found = np.fromiter(chain.from_iterable(self.finder.iter(joined.decode("latin-1"))), np.int64).reshape(-1, 2)
         # Ends ascend, so the longest of a start comes last, and the last one counts.
         longest[found[:, 0] - (found[:, 1] >> SHIFT)] = found[:, 1] & ((1 << SHIFT) - 1)
         places = len(joined) + 1
         alive, chosen, back = np.ones(places, bool), np.zeros(places, np.int64), np.zeros(places, np.int64)
-        own, at, before = np.arange(len(names)), begin.copy(), np.full(len(names), -1)
+        own, at, before = np.arange(len(pieces)), begin.copy(), np.full(len(pieces), -1)
         token = longest[at]
         while len(own):
             to = at + self.size_array[token]
@@ -240,16 +250,11 @@ class Codec:
             starts[at] = True
             more = at != first
             at, first = at[more], first[more]
-        ids = self.out_array[chosen[starts]].tobytes()
         before = np.concatenate([[0], np.cumsum(starts)])
-        cuts = zip((4 * before[begin]).tolist(), (4 * before[end]).tolist(), strict=True)
-        return {piece: ids[a:b] for piece, (a, b) in zip(pieces, cuts, strict=True)}
+        return self.out_array[chosen[starts]].tobytes(), 4 * before[np.append(begin, end[-1])]
 
     def _piece(self, piece: str) -> bytes:
         """Ids of one pre-tokenised piece, as little-endian 32-bit numbers."""
-        known = self.fresh.get(piece)
-        if known is not None:
-            return known
         name = piece.encode().decode("latin-1")
         whole = self.order.get(name)
         if whole is not None:
@@ -291,7 +296,7 @@ class Codec:
         """Ids of a space and a word. The common forms, letters and letters with one mark, need no pattern."""
         if word.isalpha():
             return self._piece(" " + word)
-        if word[-1:] in ".,!?;:" and word[:-1].isalpha():
+        if word[-1:] in MARKS and word[:-1].isalpha():
             return self.words[word[:-1]] + self.pieces[word[-1]]
         return self._pieces(" " + word)
 
@@ -314,48 +319,79 @@ class Codec:
             self.added[p].to_bytes(4, "little") if i % 2 else self._plain(p) for i, p in enumerate(parts)
         ), "<u4")
 
-    def _parts(self, word: str) -> list[str]:
-        """The pieces whose ids ``_word`` needs."""
-        if word.isalpha():
-            return [" " + word]
-        if word[-1:] in ".,!?;:" and word[:-1].isalpha():
-            return [" " + word[:-1], word[-1]]
-        return self.findall(" " + word)
+    def _ids_of(self, words: list[str], lists: list[list[str]]) -> tuple[list[bytes], list[bytes]]:
+        """Ids of different ``words``, each behind a space, and of ``lists`` of pieces; what no slice before has had is
+        encoded together."""
+        held, known = self.words, self.pieces
+        old = held.old
+        ids = [*map(held.get, words)]
+        new = [i for i, value in enumerate(ids) if value is None]
+        batch, simple, counts, others = [], [], [], []
+        for i in new:
+            word = words[i]
+            value = old.get(word)
+            if value is not None:
+                ids[i] = value
+            elif len(word) >= TOGETHER // 4 and (len(word) >= TOGETHER or not word.isascii()):
+                others.append(i)
+            elif word.isalpha():
+                batch.append(" " + word)
+                simple.append(i)
+                counts.append(1)
+            elif word[-1:] in MARKS and word[:-1].isalpha():
+                batch += (" " + word[:-1], word[-1])
+                simple.append(i)
+                counts.append(2)
+            else:
+                others.append(i)
+        lists = [self.findall(" " + words[i]) for i in others] + lists
+        pieces = [p for p in set(chain.from_iterable(lists))
+                  if p not in known and p not in known.old and len(p.encode()) <= TOGETHER]
+        flat, cuts = self._together(batch + pieces)
+        ends = cuts[np.cumsum([0, *counts])].tolist()
+        for i, a, b in zip(simple, ends, ends[1:], strict=False):
+            ids[i] = flat[a:b]
+        ends = cuts[len(batch):].tolist()
+        fresh = {p: flat[a:b] for p, a, b in zip(pieces, ends, ends[1:], strict=False)}
+        known.hold_all(fresh)
+        joined = [b"".join([fresh.get(p) or known[p] for p in part]) for part in lists]
+        for i, value in zip(others, joined, strict=False):
+            ids[i] = value
+        held.hold_all({words[i]: ids[i] for i in new if len(words[i]) <= held.longest})
+        return ids, joined[len(others):]
 
     def encode_many(self, texts: list[str]) -> list[np.ndarray]:
-        """``encode`` of every text; pieces that none of them has had before are encoded together."""
-        words, pieces, plans = set(), set(), []
-        for text in texts:
-            if self.added_split is not None and any(t in text for t in self.added):
-                plans.append(None)
-            elif ODD_SPACE.search(text):
-                plans.append((self.findall(text), ()))
-                pieces.update(plans[-1][0])
-            else:
-                head, *rest = text.split(" ")
-                plans.append((self.findall(head), rest))
-                pieces.update(plans[-1][0])
-                words.update(rest)
-        held, old = self.words, self.words.old
-        words = [w for w in words if w not in held and w not in old]
-        parts = [[" " + w] if w.isalpha() else self._parts(w) for w in words]
-        pieces.update(chain.from_iterable(parts))
-        known, old = self.pieces, self.pieces.old
-        new = [p for p in pieces if p not in known and p not in old and len(p.encode()) <= TOGETHER]
-        self.fresh = fresh = self._together(new) if new else {}
-        held.hold_all({
-            word: (fresh.get(part[0]) or known[part[0]]) if len(part) == 1
-            else b"".join([fresh.get(p) or known[p] for p in part])
-            for word, part in zip(words, parts, strict=True) if len(word) <= held.longest
-        })
-        out = []
-        for text, plan in zip(texts, plans, strict=True):
-            if plan is None:
-                out.append(self.encode(text))
+        """``encode`` of every text. Each different word of the slice is looked up once, then its ids are gathered."""
+        column = pa.array(texts, pa.large_string())
+        odd = pc.match_substring_regex(column, MAYBE_ODD).to_pylist()
+        out: list = [None] * len(texts)
+        plain, apart = [], []
+        for i, text in enumerate(texts):
+            if any(t in text for t in self.added):
+                out[i] = self.encode(text)
             else:
-                parts = [*map(self.pieces.__getitem__, plan[0]), *map(self.words.__getitem__, plan[1])]
-                out.append(np.frombuffer(b"".join(parts), "<u4"))
-        self.fresh = {}
+                (apart if odd[i] else plain).append(i)
+        split = pc.split_pattern(column.take(pa.array(plain, pa.int64())), " ")
+        values, starts = split.values, split.offsets.to_numpy()
+        head = np.zeros(len(values), bool)
+        head[starts[:-1]] = True
+        coded = values.filter(pa.array(~head)).dictionary_encode()
+        lists = [*values.take(pa.array(starts[:-1])).to_pylist(), *[texts[i] for i in apart]]
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        ids, more = self._ids_of(words, [self.findall(t) for t in lists])
+        # The heads, which have no space before them, are numbered behind the words.
+        codes = np.empty(len(values), np.int64)
+        codes[~head] = coded.indices.to_numpy()
+        codes[head] = len(ids) + np.arange(len(plain))
+        ids += more[: len(plain)]
+        length = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        at, places = runs((np.cumsum(length) - length)[codes], length[codes])
+        gathered = np.frombuffer(b"".join(ids), "<u4")[at]
+        ends = places[starts].tolist()
+        for i, a, b in zip(plain, ends, ends[1:], strict=False):
+            out[i] = gathered[a:b]
+        for i, value in zip(apart, more[len(plain):], strict=True):
+            out[i] = np.frombuffer(value, "<u4")
         return out
 
     def decode_bytes(self, ids: np.ndarray) -> bytes:

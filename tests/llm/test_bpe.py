@@ -3,10 +3,13 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from tokenizers import Tokenizer
 
 from riskmill.llm import bpe
+from riskmill.llm.shared import WordCache
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 ODD = [
@@ -88,3 +91,46 @@ def test_pair_table_equals_single_answers():
     assert own._compatible_all(left, right).tolist() == wanted
     for _ in range(2):
         assert own._fits_all(left, right).tolist() == wanted
+
+
+class Counted(WordCache):
+    asked = 0
+
+    def get(self, *key):
+        self.asked += 1
+        return super().get(*key)
+
+    def __getitem__(self, key):
+        self.asked += 1
+        return super().__getitem__(key)
+
+    def __contains__(self, key):
+        self.asked += 1
+        return super().__contains__(key)
+
+
+def test_a_repeated_word_is_looked_up_once_in_a_slice(library):
+    own = bpe.Codec(bpe.vocabulary(PATH))
+    own.words = Counted(own._word)
+    texts = ["start " + "some words, (again) and again " * 50 + "end"] * 20
+    for ids, text in zip(own.encode_many(texts), texts, strict=True):
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
+    assert 0 < own.words.asked <= 3 * len({w for t in texts for w in t.split(" ")})
+
+
+def test_caches_that_turn_over(library):
+    own, draw = bpe.Codec(bpe.vocabulary(PATH), cached=8), random.Random(17)
+    words = [*ODD, "known", "known,", "x1", "naïve!", "l'été", "e.\nThe", "日本語" * 30, "Donaudampfschifffahrtsgesellschaft", "q" * 63]
+    for _ in range(40):
+        texts = [" ".join(draw.choices(words, k=draw.randint(0, 6))) for _ in range(5)]
+        for ids, text in zip(own.encode_many(texts), texts, strict=True):
+            assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
+    assert own.encode_many([]) == [] and [len(r) for r in own.encode_many(["", ""])] == [0, 0]
+
+
+def test_arrow_finds_every_odd_space():
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = pa.array([f"a {c}b" for c in every] + ["a ", "a"])
+    found = pc.match_substring_regex(texts, bpe.MAYBE_ODD).to_pylist()
+    assert all(found[i] for i, c in enumerate(every) if bpe.ODD_SPACE.search(f"a {c}b"))
+    assert found[-2:] == [True, False] and not any(found[i] for i, c in enumerate(every) if c.isalnum())
